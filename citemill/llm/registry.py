@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from citemill.llm import chat_format, fingerprints, quality_rules, token_counts, url_filters
+from citemill.llm import chat_format, fingerprints, mixing, packing, quality_rules, token_counts, url_filters
 
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        token_counts.op3_token_counts, fingerprints.op4_fingerprints, quality_rules.op6_quality_rules,
-        chat_format.op7_chat_format, url_filters.op9_url_filters,
+        mixing.op2_mixing, token_counts.op3_token_counts, fingerprints.op4_fingerprints, quality_rules.op6_quality_rules,
+        chat_format.op7_chat_format, packing.op8_packing, url_filters.op9_url_filters,
     )}
 
 
