@@ -25,7 +25,7 @@ RULES = [
     ("block", "com", "/de/"),
 ]
 #: One odd multiplier for each word of a block; they pick the bit.
-SALTS = (0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31)
+SALTS = (0x47B6137B, 0x44974D91, 0x0824AD5B, 0x22B7289D, 0x705495C7, 0x2DF1424B, 0x1EFC4947, 0x5C6BFB31)
 BITS_PER_ENTRY = 16
 #: A block row takes about 64 bytes in a broadcast; a filter up to this many blocks is broadcast, a larger one is joined by block number.
 MAX_BROADCAST_BLOCKS = 250_000
@@ -68,9 +68,9 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def _bit(hashed: Column, salt: int) -> Column:
-    """Five bits of the low half of the hash times a salt."""
-    low = hashed.bitwiseAND(F.lit(0xFFFFFFFF))
-    return F.shiftrightunsigned((low * F.lit(salt)).bitwiseAND(F.lit(0xFFFFFFFF)), 27).cast("int")
+    """Five bits of 31 bits of the hash times a salt; the product stays below 2 ** 62, so it can't overflow."""
+    low = hashed.bitwiseAND(F.lit(0x7FFFFFFF))
+    return F.shiftrightunsigned((low * F.lit(salt)).bitwiseAND(F.lit(0x7FFFFFFF)), 26).cast("int")
 
 
 def _words(hashed: Column) -> list[Column]:
