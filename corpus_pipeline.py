@@ -1,7 +1,49 @@
-"""The corpus pipeline: five stages over documents."""
+"""The corpus pipeline over documents: language, toxicity, near-duplicates, source mix, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+
+from citemill.llm import language_id, mixing, near_dedup, packing, toxicity
+from citemill.llm.common import materialized, table
+
+#: No SQL can state a trained network, a sketch or a byte-pair encoding; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the network is sure enough of."""
+    return language_id.accepted(docs)
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the machine, trained on the labels, doesn't find toxic."""
+    return toxicity.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return near_dedup.deduplicated(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, written in the order that interleaves sources by target weight."""
+    return mixing.mixed_documents(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 1024 tokens and the sequences that they are packed into."""
+    return packing.pack(docs)
+
+
+STAGES = [("language", by_language), ("toxicity", not_toxic), ("near_dedup", one_of_each), ("mix", mixed), ("pack", packed)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = reduce(lambda d, stage: materialized(stage[1](spark, d, sf_dir)), STAGES[:-1], table(spark, sf_dir, "documents"))
+    return STAGES[-1][1](spark, docs, sf_dir)
