@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from citemill.llm.common import SPACE_CHARS, materialized, table, words
 
 SYMBOLS = "#*$%&|<>"
+#: ASCII characters of words that are no letters.
+NO_LETTERS = "0123456789!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 MIN_WORDS = 50
 ROUNDS = 50
 #: What the estimation starts from: the share of good documents, and how often a rule votes good, abstains or votes bad on good documents and on bad ones. A bad vote is rare on a good document; a good vote says little, as most rules find nothing wrong with most junk.
@@ -29,7 +31,7 @@ START_VOTES = {True: {1: 0.78, 0: 0.20, -1: 0.02}, False: {1: 0.65, 0: 0.05, -1:
 
 
 def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_distinct, n_stopped, n_lines)."""
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_distinct, n_stopped, n_lines, n_symbol_words, n_letters)."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     d = d.withColumn("w", words(F.col("text"))).withColumn("lines", F.filter(F.split("text", "\n"), lambda x: F.translate(x, SPACE_CHARS, "") != ""))
     # three-word windows as (hash, place); equal windows come together in sorted order
@@ -49,6 +51,7 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         n(F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).alias("n_symbols"),
         n(F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"), n(covered).alias("n_repeat_words"),
         n(F.size(F.array_distinct("w"))).alias("n_distinct"), n(F.size(F.filter("w", lambda x: x.rlike(r"[.!?]$")))).alias("n_stopped"), n(F.size("lines")).alias("n_lines"),
+        n(F.size(F.filter("w", lambda x: F.translate(x, SYMBOLS, "") != x))).alias("n_symbol_words"), n(F.length(F.translate("text", SPACE_CHARS + NO_LETTERS, ""))).alias("n_letters"),
     )
 
 
@@ -68,6 +71,8 @@ def votes() -> dict[str, Column]:
         "length": _vote(c("n_words") < MIN_WORDS, c("n_words") >= 100),
         "word_size": _vote((c("word_chars") < 3 * c("n_words")) | (c("word_chars") > 10 * c("n_words")), (10 * c("word_chars")).between(35 * c("n_words"), 90 * c("n_words"))),
         "symbols": _vote(10 * c("n_symbols") > c("n_words"), 100 * c("n_symbols") <= c("n_words")),
+        "symbol_words": _vote(10 * c("n_symbol_words") > c("n_words"), 100 * c("n_symbol_words") <= c("n_words")),
+        "letters": _vote(100 * c("n_letters") < 88 * c("word_chars"), 100 * c("n_letters") >= 93 * c("word_chars")),
         "dup_lines": _vote(10 * c("n_dup_lines") > 3 * c("n_lines"), c("n_dup_lines") == 0),
         "repeats": _vote(100 * c("n_repeat_words") > 30 * c("n_words"), 100 * c("n_repeat_words") <= 10 * c("n_words")),
         "variety": _vote((c("n_words") >= 20) & (100 * c("n_distinct") < 20 * c("n_words")), 100 * c("n_distinct") >= 35 * c("n_words")),
