@@ -6,11 +6,12 @@ one. From round T on a shingle goes to coordinate i - T only, so 2 T rounds fill
 share of equal coordinates of two sketches estimates the Jaccard similarity with the concentration of T independent draws.
 
 Bands of ROWS coordinates make the buckets; at a similarity of 0.75 a pair shares none of them with probability (1 - 0.75 ** ROWS) ** BANDS, 5e-6.
-Equal sets are one class and take part once. Within a bucket no pairs are made of documents that are already linked:
-every member is first held against the bucket's smallest member, and only members outside that one's component are then held
-against the others. Two bits of each coordinate travel along, and a pair whose bits agree six standard deviations less than
-a similarity of 0.75 would have isn't verified. All other pairs are, on full shingle sets; components come from contracting
-verified links in rounds, in hashed order, so long chains take few rounds.
+Equal sets are one class and take part once. Within a bucket no pairs are made of all members. The bucket's hub is its member with the most company over
+all buckets; every member is held against the hub, on full shingle sets, and those that are similar enough are linked. What is left are members x, y of one hub h, in different
+components, of which one at least isn't similar enough to h. Either they share a shingle that h lacks; then the first shingle that both have, in the order "not in h" before "in h", is such a
+one, and is early in both (prefix filtering), so they meet in a join on it. Or they don't; then they have at most min(|x ∩ h|, |y ∩ h|) shingles in
+common, which is seldom enough. All pairs that pass are verified on full sets, so no link between members of a bucket is missed. Components come from
+contracting links in rounds, in hashed order, so long chains take few rounds.
 
 Defined cases: null or blank texts have an empty set, link with nothing and are components of their own; fewer than five words are one
 shingle, the whole sequence. Rows that repeat a doc_id are one document with all their links. A row with a null doc_id links with nothing, has a null
@@ -32,8 +33,6 @@ SHINGLE = 5
 #: Linked if 100 * intersection >= PERCENT * union.
 PERCENT = 75
 T, ROWS, BANDS = 128, 4, 32
-#: Of 128 coordinates' two-bit samples, how many must agree: at 0.75 the mean is 104 and the standard deviation 4.4.
-LEAST_AGREE = 77
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _CHUNK = 1 << 20
@@ -119,49 +118,37 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def _describe(text: str | None) -> tuple[int, bytes | None, list | None, list | None]:
-    """(set size, class of equal sets, band keys, two bits of each coordinate)."""
+def _describe(text: str | None) -> tuple[int, bytes | None, list | None]:
+    """(set size, class of equal sets, band keys)."""
     import xxhash
 
     s = shingle_set(text)
     if not len(s):
-        return 0, None, None, None
+        return 0, None, None
     k = sketch(s)
     with np.errstate(over="ignore"):
         mixed = mix64(k)
         acc = np.arange(1, BANDS + 1, dtype=np.uint64) * _GOLD
         for j in range(ROWS):
             acc = mix64(acc * _GOLD + mixed.reshape(BANDS, ROWS)[:, j])
-        bits = np.concatenate([np.packbits((mixed & np.uint64(1)).astype(bool)), np.packbits((mixed & np.uint64(2)).astype(bool))])
-    return len(s), xxhash.xxh3_128_digest(s.tobytes()), acc.view(np.int64).tolist(), bits.view(np.int64).tolist()
+    return len(s), xxhash.xxh3_128_digest(s.tobytes()), acc.view(np.int64).tolist()
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, cls, bands, bits) of each row."""
-    names, kinds = ["doc_id", "n_shingles", "cls", "bands", "bits"], [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    """(doc_id, n_shingles, cls, bands) of each row."""
+    names, kinds = ["doc_id", "n_shingles", "cls", "bands"], [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
 
     def one(batches):
         for batch in batches:
             found = [_describe(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[i] for f in found], k) for i, k in enumerate(kinds[1:]))], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(one, "doc_id long, n_shingles long, cls binary, bands array<long>, bits array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(one, "doc_id long, n_shingles long, cls binary, bands array<long>")
 
 
-def _agree(a: str, b: str) -> Column:
-    """Of 128 coordinates, how many have the same two bits."""
-    differ = [F.bit_count((F.get(f"{a}bits", F.lit(i)).bitwiseXOR(F.get(f"{b}bits", F.lit(i)))).bitwiseOR(F.get(f"{a}bits", F.lit(i + 2)).bitwiseXOR(F.get(f"{b}bits", F.lit(i + 2))))) for i in (0, 1)]
-    return T - differ[0] - differ[1]
-
-
-def _may_link(a: str = "a_", b: str = "b_") -> Column:
-    """Set sizes and sketch bits don't rule out the similarity."""
-    na, nb = F.col(f"{a}n"), F.col(f"{b}n")
-    return (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & (_agree(a, b) >= LEAST_AGREE)
-
-
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of doc_ids, those whose full sets are similar enough.
+def held_against(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b, n_a, n_b, both, rare) for pairs (a, b) of doc_ids: sizes of the full sets and of their intersection, and the shingles of a that b lacks, in
+    hashed order, as far as prefix filtering looks at them.
 
     A document that is in many pairs is a hot key of the second join: its pairs are dealt to as many salts as they are thousands, and its text is copied to each.
     """
@@ -172,21 +159,26 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     dealt = pairs.join(salts, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int")).select("a", "b", "salt")
     right = texts.join(salts.withColumnRenamed("b", "doc_id"), "doc_id").select(F.col("doc_id").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("text").alias("b_text"))
     joined = dealt.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a").join(right, ["b", "salt"])
+    names, kinds = ["n_a", "n_b", "both", "rare"], [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
 
-    def check(batches):
+    def compare(batches):
         last: tuple = (None, None)
         for batch in batches:
-            keep = []
+            rows = []
             for a, b in zip(batch.column(1), batch.column(3), strict=True):
                 b_text = b.as_py()
                 if last[0] != b_text:
                     last = (b_text, shingle_set(b_text))
                 s, t = shingle_set(a.as_py()), last[1]
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= PERCENT * (len(s) + len(t) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                lacking = s[~np.isin(s, t, assume_unique=True)]
+                rows.append((len(s), len(t), len(s) - len(lacking), lacking[: len(s) - -(-PERCENT * len(s) // 100) + 1].view(np.int64).tolist()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=["a", "b", *names])
+
+    return joined.select("a", "a_text", "b", "b_text").mapInArrow(compare, "a long, b long, n_a long, n_b long, both long, rare array<long>")
+
 
-    return joined.select("a", "a_text", "b", "b_text").mapInArrow(check, "a long, b long")
+def _linked(both: Column, n_a: Column, n_b: Column) -> Column:
+    return 100 * both >= PERCENT * (n_a + n_b - both)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -225,33 +217,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     again = full.groupBy("doc_id").agg(F.count_distinct("cls").alias("n")).where("n > 1")
     members = full.select("doc_id", "cls").join(classes, "cls")
     own_links = members.join(again, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    reps = materialized(full.join(classes, "cls").where("doc_id = node").dropDuplicates(["cls"]).select("node", F.col("n_shingles").alias("n"), "bands", "bits"))
-
-    def in_buckets(rows: DataFrame) -> DataFrame:
-        return rows.select("node", F.explode("bands").alias("key"))
-
-    firsts = materialized(in_buckets(reps).groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("size")).where("size > 1"))
-    buckets = materialized(in_buckets(reps).join(firsts, "key").select("key", "node", "first"))
-    info = reps.select("node", "n", "bits")
-
-    def told(pairs: DataFrame) -> DataFrame:
-        a, b = info.toDF("a", "a_n", "a_bits"), info.toDF("b", "b_n", "b_bits")
-        return pairs.join(a, "a").join(b, "b").where(_may_link()).select("a", "b")
-
-    star = materialized(told(buckets.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()))
-    links = materialized(verified(star, docs))
+    reps = full.join(classes, "cls").where("doc_id = node").dropDuplicates(["cls"]).select("node", F.explode("bands").alias("key"))
+    shared = reps.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    buckets = materialized(reps.join(shared, "key"))
+    company = buckets.groupBy("node").agg(F.sum("size").alias("company"))
+    hubs = buckets.join(company, "node").groupBy("key").agg(F.max(F.struct("company", "node")).alias("h")).select("key", F.col("h.node").alias("hub"))
+    stars = buckets.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    star = materialized(held_against(materialized(stars), docs))
+    links = star.where(_linked(F.col("both"), F.col("n_a"), F.col("n_b"))).select("a", "b").union(own_links)
     found = components(links)
 
-    # members of a bucket that aren't in its first one's component, against all others of the bucket that aren't linked yet
-    comp = found.toDF("node", "c")
-    rows = buckets.join(comp, "node", "left").withColumn("c", F.coalesce("c", "node")).join(comp.toDF("first", "fc"), "first", "left").withColumn("fc", F.coalesce("fc", "first"))
-    mixed = rows.groupBy("key").agg(F.count_if(F.col("c") != F.col("fc")).alias("out")).where("out > 0")
-    rows = materialized(rows.join(mixed, "key", "left_semi").join(info, "node").select("key", "node", "first", "c", (F.col("c") != F.col("fc")).alias("out"), "n", "bits"))
-    a, b = rows.where("out").toDF("key", "a", "first", "a_c", "a_out", "a_n", "a_bits"), rows.toDF("key", "b", "b_first", "b_c", "b_out", "b_n", "b_bits")
-    new = (F.col("a_c") != F.col("b_c")) & (F.col("b") != F.col("first")) & (~F.col("b_out") | (F.col("a") < F.col("b")))
-    cross = a.join(b, (a["key"] == b["key"]) & new & _may_link()).select(F.col("a"), F.col("b")).distinct()
-    links = links.union(verified(materialized(cross), docs)).union(own_links)
-    found = components(links)
+    # members of one hub that aren't linked yet
+    rows = materialized(star.join(found.toDF("a", "c"), "a", "left").withColumn("c", F.coalesce("c", "a")).select("b", "a", "c", "n_a", "n_b", "both", "rare"))
+    rows = rows.join(rows.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n_a").alias("least")).where("lo <> hi"), "b")
+    tokens = rows.select("b", "a", "c", "n_a", F.posexplode("rare").alias("pos", "token"))
+    x, y = tokens.toDF("b", "x", "x_c", "x_n", "x_pos", "token"), tokens.toDF("b2", "y", "y_c", "y_n", "y_pos", "token2")
+    # both have this shingle and at most what comes after it in both
+    room = F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos"))
+    early = x.join(y, (F.col("b") == F.col("b2")) & (F.col("token") == F.col("token2")) & (F.col("x") < F.col("y")) & (F.col("x_c") != F.col("y_c")) & _linked(room, F.col("x_n"), F.col("y_n"))).select("x", "y")
+    # x can be linked, by shingles of the hub alone, to y of at most so many shingles
+    most = F.floor((100 + PERCENT) * F.col("both") / PERCENT) - F.col("n_a")
+    bounded = rows.select("b", "a", "c", "n_a", "both", most.alias("most"), "least").where("most >= least")
+    x, y = bounded.select("b", "a", "c", "n_a", "most", "both").toDF("b", "x", "x_c", "x_n", "x_most", "x_both"), bounded.select("b", "a", "c", "n_a", "most", "both").toDF("b2", "y", "y_c", "y_n", "y_most", "y_both")
+    by_hub = x.join(y, (F.col("b") == F.col("b2")) & (F.col("x") < F.col("y")) & (F.col("x_c") != F.col("y_c")) & (F.col("y_n") <= F.col("x_most")) & (F.col("x_n") <= F.col("y_most"))).select("x", "y")
+    cross = materialized(early.union(by_hub).distinct().toDF("a", "b"))
+    more = held_against(cross, docs)
+    found = components(links.union(more.where(_linked(F.col("both"), F.col("n_a"), F.col("n_b"))).select("a", "b")))
 
     out = d.join(classes, "cls", "left").join(found, "node", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "node"))
