@@ -8,8 +8,8 @@ share of equal coordinates of two sketches estimates the Jaccard similarity with
 Bands of ROWS coordinates make the buckets; at a similarity of 0.75 a pair shares none of them with probability (1 - 0.75 ** ROWS) ** BANDS, 5e-6.
 Equal sets are one class and take part once. Within a bucket no pairs are made of all members. The bucket's hub is its member with the most company over
 all buckets; every member is held against the hub, on full shingle sets, and those that are similar enough are linked. What is left are members x, y of one hub h, in different
-components, of which one at least isn't similar enough to h. Either they share a shingle that h lacks; then the first shingle that both have, in the order "not in h" before "in h", is such a
-one, and is early in both (prefix filtering), so they meet in a join on it. Or they don't; then they have at most min(|x ∩ h|, |y ∩ h|) shingles in
+components, of which one at least isn't similar enough to h. Either they share a shingle that h lacks; then the first shingle that both have, in the order of those that h lacks, by how
+many members have them, before those that h has, is such a one, and is early in both (prefix filtering), so they meet in a join on it. Or they don't; then they have at most min(|x ∩ h|, |y ∩ h|) shingles in
 common, which is seldom enough. All pairs that pass are verified on full sets, so no link between members of a bucket is missed. Components come from
 contracting links in rounds, in hashed order, so long chains take few rounds.
 
@@ -146,9 +146,8 @@ def described(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(one, "doc_id long, n_shingles long, cls binary, bands array<long>")
 
 
-def held_against(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b, n_a, n_b, both, rare) for pairs (a, b) of doc_ids: sizes of the full sets and of their intersection, and the shingles of a that b lacks, in
-    hashed order, as far as prefix filtering looks at them.
+def held_against(pairs: DataFrame, docs: DataFrame, with_lacking: bool = False) -> DataFrame:
+    """(a, b, n_a, n_b, both, lacking) for pairs (a, b) of doc_ids: sizes of the full sets and of their intersection, and, if asked for, the shingles of a that b lacks.
 
     A document that is in many pairs is a hot key of the second join: its pairs are dealt to as many salts as they are thousands, and its text is copied to each.
     """
@@ -159,7 +158,7 @@ def held_against(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     dealt = pairs.join(salts, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int")).select("a", "b", "salt")
     right = texts.join(salts.withColumnRenamed("b", "doc_id"), "doc_id").select(F.col("doc_id").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("text").alias("b_text"))
     joined = dealt.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a").join(right, ["b", "salt"])
-    names, kinds = ["n_a", "n_b", "both", "rare"], [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    names, kinds = ["n_a", "n_b", "both", "lacking"], [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
 
     def compare(batches):
         last: tuple = (None, None)
@@ -171,10 +170,10 @@ def held_against(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                     last = (b_text, shingle_set(b_text))
                 s, t = shingle_set(a.as_py()), last[1]
                 lacking = s[~np.isin(s, t, assume_unique=True)]
-                rows.append((len(s), len(t), len(s) - len(lacking), lacking[: len(s) - -(-PERCENT * len(s) // 100) + 1].view(np.int64).tolist()))
+                rows.append((len(s), len(t), len(s) - len(lacking), lacking.view(np.int64).tolist() if with_lacking else None))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=["a", "b", *names])
 
-    return joined.select("a", "a_text", "b", "b_text").mapInArrow(compare, "a long, b long, n_a long, n_b long, both long, rare array<long>")
+    return joined.select("a", "a_text", "b", "b_text").mapInArrow(compare, "a long, b long, n_a long, n_b long, both long, lacking array<long>")
 
 
 def _linked(both: Column, n_a: Column, n_b: Column) -> Column:
@@ -223,14 +222,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     company = buckets.groupBy("node").agg(F.sum("size").alias("company"))
     hubs = buckets.join(company, "node").groupBy("key").agg(F.max(F.struct("company", "node")).alias("h")).select("key", F.col("h.node").alias("hub"))
     stars = buckets.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    star = materialized(held_against(materialized(stars), docs))
+    star = materialized(held_against(materialized(stars), docs, with_lacking=True))
     links = star.where(_linked(F.col("both"), F.col("n_a"), F.col("n_b"))).select("a", "b").union(own_links)
     found = components(links)
 
     # members of one hub that aren't linked yet
-    rows = materialized(star.join(found.toDF("a", "c"), "a", "left").withColumn("c", F.coalesce("c", "a")).select("b", "a", "c", "n_a", "n_b", "both", "rare"))
+    rows = materialized(star.join(found.toDF("a", "c"), "a", "left").withColumn("c", F.coalesce("c", "a")).select("b", "a", "c", "n_a", "n_b", "both", "lacking"))
     rows = rows.join(rows.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n_a").alias("least")).where("lo <> hi"), "b")
-    tokens = rows.select("b", "a", "c", "n_a", F.posexplode("rare").alias("pos", "token"))
+    tokens = rows.select("b", "a", "c", "n_a", F.explode("lacking").alias("token"))
+    common = tokens.groupBy("b", "token").agg(F.count("*").alias("df")).where("df > 1")
+    order = Window.partitionBy("b", "a").orderBy("df", "token")  # a document's shingles
+    tokens = tokens.join(common, ["b", "token"], "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("pos", F.row_number().over(order) - 1)
+    tokens = materialized(tokens.where((F.col("df") > 1) & (F.col("pos") <= F.col("n_a") - F.ceil(PERCENT * F.col("n_a") / 100))).select("b", "a", "c", "n_a", "pos", "token"))
     x, y = tokens.toDF("b", "x", "x_c", "x_n", "x_pos", "token"), tokens.toDF("b2", "y", "y_c", "y_n", "y_pos", "token2")
     # both have this shingle and at most what comes after it in both
     room = F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos"))
