@@ -46,8 +46,8 @@ RIDGE = 1e-5
 TOXIC_SHARE = 0.5
 SAMPLE_DOCS, SAMPLE_CHARS = 1500, 20_000
 CLEAN_WORDS, HARD_WORDS = 6000, 3000
-#: Words whose first four characters have at least these log odds to be in toxic documents, and are in no clean one, train as toxic throughout.
-LEAST_ODDS = 3.0
+#: Words whose first four characters have at least this log likelihood ratio to go with toxic documents, and are in no clean one, train as toxic throughout.
+LEAST_EVIDENCE = 8.0
 #: Copies of each toxic word with a character inserted or doubled.
 TORN = 3
 THRESHOLD = 0.3
@@ -151,15 +151,16 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -500, 500)))
 
 
-def fit_margins(toxic: list[str], torn: list[str], clean: list[str], n_landmarks: int = LANDMARKS, seed: int = SEED) -> tuple[np.ndarray, float]:
+def fit_margins(toxic: list[str], torn: list[str], clean: list[str], hard: list[str] | None = None, n_landmarks: int = LANDMARKS, seed: int = SEED) -> tuple[np.ndarray, float]:
     """(weights over features, bias) of the machine for toxic words (the most common first), torn ones and clean ones: squared hinge loss.
 
-    Landmarks: a quarter the most common toxic words, a quarter other toxic ones, half clean ones.
+    Landmarks: a quarter the most common toxic words, a quarter other toxic ones, a quarter the clean words that are hardest to tell (hard, hardest first), and other clean ones.
     """
     rng = np.random.default_rng(seed)
     first, rest = toxic[: n_landmarks // 4], toxic[n_landmarks // 4 :]
     chosen = first + [rest[i] for i in rng.permutation(len(rest))[: n_landmarks // 4]]
-    chosen += [clean[i] for i in rng.permutation(len(clean))[: n_landmarks // 2]]
+    chosen += (hard or [])[: n_landmarks // 4]
+    chosen = list(dict.fromkeys(chosen + [clean[i] for i in rng.permutation(len(clean))]))[:n_landmarks]
     toxic = toxic + torn
     land = features(chosen)
     own = kernel(chosen, land)
@@ -207,23 +208,32 @@ def learn(sample: list[tuple[str, int]], seed: int = SEED) -> Machine | None:
     starts: dict[int, Counter] = {0: Counter(), 1: Counter()}
     for d, t in docs:
         starts[t].update({w[:4] for w in d})
-    odds = lambda w: np.log((starts[1][w[:4]] + 0.5) / (n1 + 1)) - np.log((starts[0][w[:4]] + 0.5) / (n0 + 1))
+    share = n1 / (n1 + n0)
+
+    def evidence(w: str) -> float:
+        """How much likelier the counts of a word's start are with a rate of its own in toxic documents than with the common one; 0 if it is rarer there."""
+        k, c = starts[1][w[:4]], starts[0][w[:4]]
+        return k * np.log(k / (k + c) / share) + (c * np.log(c / (k + c) / (1 - share)) if c else 0.0) if k > share * (k + c) else 0.0
+
     vocabulary = sorted({w for d, t in docs if not t for w in d})
     clean = [vocabulary[i] for i in rng.permutation(len(vocabulary))[:CLEAN_WORDS]]
     common = Counter(w for d, t in docs if not t for w in d)
     clean = sorted({*clean, *(w for w, _ in common.most_common(CLEAN_WORDS // 4))})
     known = set(vocabulary)
-    marked = [w for d, t in docs if t for w in d if w not in known and odds(w) >= LEAST_ODDS]
-    witness = [max(d, key=odds) for d, t in docs if t]
-    weights, bias = np.zeros(1 << 18), 0.0
+    marked = [w for d, t in docs if t for w in d if w not in known and evidence(w) >= LEAST_EVIDENCE]
+    witness = [max(d, key=evidence) for d, t in docs if t]
+    witness = [w for w in witness if evidence(w) >= LEAST_EVIDENCE] or witness  # a document without a telling word may be labelled in error
+    weights, bias, hard = np.zeros(1 << 18), 0.0, []
     for _ in range(ROUNDS):
         often = Counter([w for w in witness if w not in known] + marked) or Counter(witness)
         toxic = [w for w, _ in sorted(often.items(), key=lambda x: (-x[1], x[0]))]
         torn = [w[:k] + (chr(97 + rng.integers(26)) if rng.random() < 0.7 else w[k - 1]) + w[k:] for w in toxic if len(w) > 3 for k in rng.integers(1, len(w), TORN)]
-        weights, bias = fit_margins(toxic, [w for w in torn if w not in known], clean, seed=seed)
+        weights, bias = fit_margins(toxic, [w for w in torn if w not in known], clean, hard, seed=seed)
         scored = margins_of(vocabulary, weights, bias)
-        clean = sorted({*clean, *(vocabulary[i] for i in np.argsort(-scored)[:HARD_WORDS] if scored[i] > -1)})
-        witness = [d[int(np.argmax(margins_of(d, weights, bias)))] for d, t in docs if t]
+        hard = [vocabulary[i] for i in np.argsort(-scored, kind="stable")[:HARD_WORDS] if scored[i] > -1]
+        clean = sorted({*clean, *hard})
+        best = [(m.max(), d[int(m.argmax())]) for d, t in docs if t for m in [margins_of(d, weights, bias)]]
+        witness = [w for m, w in best if m > 0] or witness
     floor = float(scored.min())
     machine = Machine(weights.astype(np.float32), bias, min(floor, bias, -1.0))
     m = np.array([margins_of(d, machine.weights, bias).max() for d, _ in docs])
