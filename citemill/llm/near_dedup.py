@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from citemill.llm import url_filters
 from citemill.llm.common import materialized, table
 
 SHINGLE = 5
@@ -151,9 +152,13 @@ def held_against(pairs: DataFrame, docs: DataFrame, with_lacking: bool = False)
 
     A document that is in many pairs is a hot key of the second join: its pairs are dealt to as many salts as they are thousands, and its text is copied to each.
     """
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    ids = materialized(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    n_blocks = url_filters.blocks_for(ids.count())
     once = Window.partitionBy("doc_id").orderBy(F.col("text"))
-    texts = materialized(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").withColumn("_r", F.row_number().over(once)).where("_r = 1").drop("_r"))
+    rows = docs.select("doc_id", "text")
+    if n_blocks <= url_filters.MAX_BROADCAST_BLOCKS:  # most documents are in no pair; a filter of a checked size keeps their texts out of the shuffle
+        rows = url_filters.possible_hits(rows, "doc_id", url_filters.bloom(ids, "doc_id", n_blocks), n_blocks)
+    texts = materialized(rows.join(ids, "doc_id", "left_semi").withColumn("_r", F.row_number().over(once)).where("_r = 1").drop("_r"))
     salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / 1000).cast("int").alias("salts"))
     dealt = pairs.join(salts, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int")).select("a", "b", "salt")
     right = texts.join(salts.withColumnRenamed("b", "doc_id"), "doc_id").select(F.col("doc_id").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("text").alias("b_text"))
