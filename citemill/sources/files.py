@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +54,28 @@ def table(spark: SparkSession, path: str, schema: str | None = None) -> DataFram
 
 
 def status_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(repo_id, status, timestamp, details) of all .status markers below a folder; a marker that can't be read is left out."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).where(F.col("path").endswith("/.status"))
-    parsed = rows.select(F.regexp_extract("path", r"([^/]+)/\.status$", 1).alias("repo_id"), F.from_json(F.col("content").cast("string"), STATUS).alias("s"))
+    """(repo_id, status, timestamp, details) of the .status markers of all repositories in a folder; a marker that can't be read is left out.
+
+    Spark's readers pass over names that start with a dot, so the markers' names are listed on the driver and their contents are read by tasks.
+    """
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{{*,*/*}}/.status")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    paths = spark.createDataFrame([(str(f.getPath()),) for f in found], "path string")
+
+    def read(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            texts = []
+            for path in batch.column(0).to_pylist():
+                try:
+                    system, name = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
+                    with system.open_input_file(name) as f:
+                        texts.append(f.read().decode("utf-8", "replace"))
+                except OSError:
+                    texts.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["path", "text"])
+
+    rows = paths.mapInArrow(read, "path string, text string")
+    parsed = rows.select(F.regexp_extract("path", r"([^/]+)/\.status$", 1).alias("repo_id"), F.from_json("text", STATUS).alias("s"))
     return parsed.where("s.status IS NOT NULL").select("repo_id", "s.*")
