@@ -1,14 +1,17 @@
-"""From scripts to import rows, and from import rows to citation counts."""
+"""From scripts to import rows, and from import rows to citation counts.
+
+Rows without names are dropped after explode_outer: for explode Spark adds a filter on the array, which works out all names a second time.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citemill.functions import classify, keys
 from citemill.functions.python_imports import notebook_imports, python_imports
-from citemill.functions.r_imports import r_imports
-from citemill.functions.stata_imports import stata_imports
+from citemill.functions.r_imports import with_r_imports
+from citemill.functions.stata_imports import with_stata_imports
 
 
 def import_rows(scripts: DataFrame, compat: bool = False) -> DataFrame:
@@ -20,15 +23,16 @@ def import_rows(scripts: DataFrame, compat: bool = False) -> DataFrame:
     notebook = F.lower(keys.suffix(F.col("path"))) == ".ipynb"
     text = F.col("text")
     branches = [
-        s.where("language = 'R'").select("path", "language", r_imports(text).alias("found")),
-        s.where("language = 'Stata'").select("path", "language", stata_imports(text).alias("found")),
+        with_r_imports(s.where("language = 'R'")).select("path", "language", "found"),
+        with_stata_imports(s.where("language = 'Stata'")).select("path", "language", "found"),
         s.where((F.col("language") == "Python") & ~notebook).select("path", "language", python_imports(text).alias("found")),
         s.where((F.col("language") == "Python") & notebook).select("path", "language", notebook_imports(text).alias("found")),
     ]
     rows = branches[0]
     for b in branches[1:]:
         rows = rows.unionByName(b)
-    return with_keys(rows, compat).select(F.explode("found").alias("package"), "language", F.col("path").alias("file_path"), "dataverse", "repo_id").withColumn(
+    named = with_keys(rows, compat).select(F.explode_outer("found").alias("package"), "language", F.col("path").alias("file_path"), "dataverse", "repo_id").where("package IS NOT NULL")
+    return named.withColumn(
         "classification", classify.package_class(F.col("language"), F.col("package"), compat)
     ).select("package", "language", "file_path", "classification", "dataverse", "repo_id")
 
@@ -37,9 +41,9 @@ def with_keys(rows: DataFrame, compat: bool = False, path: str = "path") -> Data
     return rows.withColumn("dataverse", keys.source(F.col(path), compat)).withColumn("repo_id", keys.repo_id(F.col(path), compat))
 
 
-def extracted(scripts: DataFrame, names: Column, compat: bool = False) -> DataFrame:
-    """(package, dataverse, repo_id) by one extractor, for a corpus of one language."""
-    return with_keys(scripts.withColumn("_found", names), compat).select(F.explode("_found").alias("package"), "dataverse", "repo_id")
+def extracted(scripts: DataFrame, compat: bool = False) -> DataFrame:
+    """(package, dataverse, repo_id) of scripts (path, found) of one language."""
+    return with_keys(scripts, compat).select(F.explode_outer("found").alias("package"), "dataverse", "repo_id").where("package IS NOT NULL")
 
 
 def tally(imports: DataFrame) -> DataFrame:

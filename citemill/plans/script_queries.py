@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from citemill.functions import classify, keys
 from citemill.functions.python_imports import python_imports
-from citemill.functions.r_imports import r_imports, r_library_calls, without_comments
-from citemill.functions.stata_imports import stata_imports, without_comments as stata_code
+from citemill.functions.r_imports import r_library_calls, with_r_imports, without_comments
+from citemill.functions.stata_imports import with_stata_imports, without_comments as stata_code
 from citemill.operators import imports as ops
 from citemill.plans import corpora as c
 
@@ -43,15 +43,15 @@ _TALLY = "SELECT package, count(*) AS count FROM (SELECT DISTINCT dataverse, rep
 
 
 def _r(spark, sf):
-    return ops.extracted(c.frame(spark, sf, c.R_SCRIPTS), r_imports(F.col("text")))
+    return ops.extracted(with_r_imports(c.frame(spark, sf, c.R_SCRIPTS)))
 
 
 def _stata(spark, sf):
-    return ops.extracted(c.frame(spark, sf, c.STATA_SCRIPTS), stata_imports(F.col("text")))
+    return ops.extracted(with_stata_imports(c.frame(spark, sf, c.STATA_SCRIPTS)))
 
 
 def _py_rows(spark, sf):
-    return ops.extracted(c.frame(spark, sf, c.PYTHON_SCRIPTS), python_imports(F.col("text")))
+    return ops.extracted(c.frame(spark, sf, c.PYTHON_SCRIPTS).withColumn("found", python_imports(F.col("text"))))
 
 
 _PY_ROWS = r"""SELECT path, unnest(list_distinct(list_concat(list_concat(regexp_extract_all(text, 'import ([a-z0-9_]+\.sub\d)', 1), regexp_extract_all(text, 'import ([a-z0-9_]+)\.sub', 1)),
