@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from citemill.llm.common import held_out, table
 
@@ -230,7 +231,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, **how) -> Network | Non
 def identified(docs: DataFrame, net: Network | None, also: list[str] | None = None) -> DataFrame:
     """(doc_id, lang_pred, score) and the columns also asked for, of every row."""
     also = also or []
-    schema = "doc_id long, lang_pred string, score double" + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in also)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *(docs.schema[c] for c in also)])
 
     def label(batches):
         for batch in batches:
@@ -252,9 +253,8 @@ def identified(docs: DataFrame, net: Network | None, also: list[str] | None = No
 
 def accepted(docs: DataFrame) -> DataFrame:
     """The documents whose language the network is sure enough of, with the columns that came in."""
-    own = [c for c in docs.columns if c != "doc_id"]
-    found = identified(docs, fit(docs), [c for c in own])
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    found = identified(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_in")), fit(docs), ["_in"])
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("_in.*")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ up to sum to one again, and the bound holds within each phase.
 Defined cases: a null source is a source of its own. Weights that are missing, null or not above zero count as the
 smallest weight that can be told (1 of ``resolution``), so their documents are still placed. Repeated rows are placed each. Ties between
 deadlines go to the larger weight, then to the smaller source name. An empty table gives no rows. In ``mixed_documents`` the input's
-columns pass through and helper columns have names that the input doesn't.
+columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -123,7 +123,10 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, sour
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The documents in the order of the mix, with the columns that came in."""
-    return mix(docs, **how).repartitionByRange("_position").sortWithinPartitions("_position").select(*docs.columns)
+    own = [f"c{i}" for i in range(len(docs.columns))]  # so that no column of the input clashes with a helper
+    place = dict(zip(docs.columns, own, strict=True))
+    d = docs.toDF(*own).withColumn("doc_id", F.col(place["doc_id"])).withColumn("source", F.col(place[how.pop("source_col", "source")]))
+    return mix(d, **how).repartitionByRange("_position").sortWithinPartitions("_position").select(*own).toDF(*docs.columns)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

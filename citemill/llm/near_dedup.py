@@ -262,7 +262,10 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     spark, names = docs.sparkSession, docs.columns
     kept = materialized(near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct())
     once = Window.partitionBy("doc_id").orderBy("text")
-    rows = docs.join(kept, "doc_id", "left_semi").withColumn("_row", F.row_number().over(once)).where("_row = 1")
+    place = "_row"
+    while place in names:
+        place += "_"
+    rows = docs.join(kept, "doc_id", "left_semi").withColumn(place, F.row_number().over(once)).where(F.col(place) == 1)
     return rows.select(names).union(docs.where(F.col("doc_id").isNull()).select(names))
 
 

@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from citemill.llm.common import held_out, table
 
@@ -264,7 +265,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> M
 def scored(docs: DataFrame, machine: Machine | None, also: list[str] | None = None) -> DataFrame:
     """(doc_id, score) and the columns also asked for, of every row."""
     also = also or []
-    schema = "doc_id long, score double" + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in also)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType()), *(docs.schema[c] for c in also)])
 
     def run(batches):
         margin: dict[str, float] = {}
@@ -292,8 +293,8 @@ def scored(docs: DataFrame, machine: Machine | None, also: list[str] | None = No
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't found toxic, with the columns that came in."""
-    found = scored(docs, fit(docs, labels), [c for c in docs.columns if c != "doc_id"])
-    return found.where(F.col("score") < THRESHOLD).select(*docs.columns)
+    found = scored(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_in")), fit(docs, labels), ["_in"])
+    return found.where(F.col("score") < THRESHOLD).select("_in.*")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
