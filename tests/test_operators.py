@@ -178,3 +178,22 @@ def test_resume_skips_what_is_done(spark, tmp_path):
     for _ in range(2):
         incremental.resume(spark, todo, str(tmp_path / "done"), work)
     assert seen == [["a", "b"], []]
+
+
+def test_commands(spark, tmp_path, capsys):
+    from citemill.__main__ import main
+
+    d = tmp_path / "in" / "zenodo" / "5"
+    d.mkdir(parents=True)
+    (d / "a.R").write_text("library(dplyr)\nlibrary(readr)")
+    (d / "b.zip").write_bytes(_zip({"x.R": "1"}))
+    (d / ".status").write_text(json.dumps({"status": "error", "timestamp": "t", "details": {}}))
+    assert main(["tally", str(tmp_path / "in"), str(tmp_path / "out"), "--languages", "R"]) == 0
+    assert "1  dplyr" in capsys.readouterr().out
+    main(["status", str(tmp_path / "in")])
+    main(["status", str(tmp_path / "in"), "--retryable"])
+    assert "error 5" in capsys.readouterr().out
+    main(["extract", str(tmp_path / "in"), str(tmp_path / "ex")])
+    main(["classes", "R", "MASS", "dplyr"])
+    out = capsys.readouterr().out
+    assert "extracted" in out and "MASS recommended" in out
