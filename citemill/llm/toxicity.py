@@ -44,7 +44,7 @@ LANDMARKS = 448
 ROUNDS = 3
 RIDGE = 1e-5
 #: Share of the loss that toxic words weigh.
-TOXIC_SHARE = 0.5
+TOXIC_SHARE = 0.35
 SAMPLE_DOCS, SAMPLE_CHARS = 1500, 20_000
 CLEAN_WORDS, HARD_WORDS = 6000, 3000
 #: Words whose first four characters have at least this log likelihood ratio to go with toxic documents, and are in no clean one, train as toxic throughout.
