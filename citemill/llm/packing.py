@@ -9,18 +9,25 @@ Lengths are numbers up to the capacity, so documents and gaps are runs of equal
 cost depends on the capacity and not on the corpus. Every run's match is one row of a plan (length, ranks, sequences, offset);
 the rows' own places follow from their ranks in a distributed join with the plan.
 
+``pack_in_order`` keeps the order of the documents, such as a source mix: best fit runs within each window of WINDOW_DOCS consecutive documents, and
+sequences are numbered by window and, within it, by their first document. So the sequences up to the end of a window hold exactly the documents up to there.
+
 Defined cases: null text is empty; an empty document is its end token alone. Repeated rows are packed each, ties in
 length go by hash. An empty table gives no rows. Only id and text are read, so clashing names do no harm.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
+from itertools import accumulate
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from citemill.llm.common import materialized, table
 
@@ -28,6 +35,8 @@ CAPACITY = 1024
 END_ID = 2
 #: Documents of one length are ranked in this many hash ranges.
 RANGES = 256
+#: Documents that are packed together where their order counts.
+WINDOW_DOCS = 1024
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -38,10 +47,10 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, first)] * (first > 0) + [(s, capacity) for s in range(first, n, capacity)]
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, json_path: str | None = None, rank_path: str | None = None, with_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) and, if asked for, ids."""
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
+def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, json_path: str | None = None, rank_path: str | None = None, with_ids: bool = False, place: str | None = None) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32) and, if asked for, ids and the document's place from the column of that name."""
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids + ["place"] * (place is not None)
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * with_ids + [pa.int64()] * (place is not None)
 
     def tokenize(batches):
         import numpy as np
@@ -50,15 +59,15 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, json
 
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, text, *at in zip(batch.column(0).to_pylist(), batch.column(1), *(c.to_pylist() for c in batch.columns[2:]), strict=True):
                 ids = np.append(encode(text.as_py(), json_path, rank_path), np.uint32(end_id)).astype("<u4")
                 for i, (start, n) in enumerate(cut(len(ids), capacity)):
                     own = ids[start : start + n]
-                    rows.append((doc_id, i, start, n, zlib.crc32(own.tobytes())) + ((own.astype("int32").tolist(),) if with_ids else ()))
+                    rows.append((doc_id, i, start, n, zlib.crc32(own.tobytes())) + ((own.astype("int32").tolist(),) if with_ids else ()) + tuple(at))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tokenize, schema)
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids + ", place long" * (place is not None)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *([F.col(place)] if place else [])).mapInArrow(tokenize, schema)
 
 
 def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
@@ -130,5 +139,59 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, json_p
     return placed(materialized(pieces(docs, capacity, end_id, json_path, rank_path, with_ids)), capacity)
 
 
+def with_places(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, place): the place of each row in the order of the files, by part number, and of their rows. What isn't read from files is written first, in its order."""
+    own = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
+    try:
+        d = docs.select("doc_id", "text", docs.metadataColumn("_metadata").alias("m"))
+        d = d.select("doc_id", "text", F.col("m.file_path").alias("file"), F.col("m.row_index").alias("row"))
+    except AnalysisException:
+        return with_places(materialized(own))
+
+    def order(path: str) -> tuple:
+        folder, _, name = path.rpartition("/")
+        part = re.match(r"part-(\d+)", name)
+        return folder, int(part[1]) if part else -1, name
+
+    files = {r["file"]: r["n"] for r in d.groupBy("file").agg((F.max("row") + 1).alias("n")).collect()}  # a row for each file
+    names = sorted(files, key=order)
+    before = list(zip(names, accumulate((files[x] for x in names), initial=0)))
+    told = F.broadcast(docs.sparkSession.createDataFrame(before, "_file string, _before long"))
+    return d.join(told, F.col("file") == F.col("_file")).select("doc_id", "text", (F.col("_before") + F.col("row")).alias("place"))
+
+
+def pack_window(part: pa.Table, capacity: int = CAPACITY) -> pa.Table:
+    """Adds sequence and offset to the pieces of one window; sequences are numbered by their first piece in order."""
+    place, piece, length = (part.column(c).to_pylist() for c in ("place", "piece", "length"))
+    rows = sorted(range(len(place)), key=lambda i: (place[i], piece[i]))
+    of_length: dict[int, list[int]] = {}
+    for i in rows:
+        of_length.setdefault(length[i], []).append(i)
+    sequence, offset = [0] * len(rows), [0] * len(rows)
+    for n, first, end, seq, at, fit in best_fit({n: len(x) for n, x in of_length.items()}, capacity):
+        for r in range(first, end):
+            i = of_length[n][r]
+            sequence[i], offset[i] = seq + (r - first) // fit, at + (r - first) % fit * n
+    number: dict[int, int] = {}
+    for i in rows:
+        number.setdefault(sequence[i], len(number))
+    return part.append_column("sequence", pa.array([number[x] for x in sequence], pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
+
+
+def pack_in_order(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, json_path: str | None = None, rank_path: str | None = None, window_docs: int | None = None) -> DataFrame:
+    """One row for each piece, as from pack, of documents whose order counts: as read from Parquet files, without steps in between that change it."""
+    parts = pieces(with_places(docs), capacity, end_id, json_path, rank_path, place="place").withColumn("window", F.floor(F.col("place") / (window_docs or WINDOW_DOCS)))
+    schema = StructType([*parts.schema, StructField("sequence", LongType()), StructField("offset", LongType())])
+    d = materialized(parts.groupBy("window").applyInArrow(lambda part: pack_window(part, capacity), schema))
+    # sequences of the windows before, in two steps, so that no task has to read a row for each window
+    sizes = d.groupBy("window").agg((F.max("sequence") + 1).alias("n")).withColumn("span", F.floor(F.col("window") / RANGES))
+    spans = sizes.groupBy("span").agg(F.sum("n").alias("n"))
+    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select("span", F.coalesce(F.sum("n").over(earlier.orderBy("span")), F.lit(0)).alias("base"))
+    sizes = sizes.select("window", "span", F.coalesce(F.sum("n").over(earlier.partitionBy("span").orderBy("window")), F.lit(0)).alias("own"))
+    first = sizes.join(spans, "span").select("window", (F.col("base") + F.col("own")).alias("first"))
+    return d.join(first, "window").select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("sequence")).alias("sequence_id"), "offset")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))

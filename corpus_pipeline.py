@@ -37,8 +37,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 1024 tokens and the sequences that they are packed into."""
-    return packing.pack(docs)
+    """Pieces of at most 1024 tokens and the sequences that they are packed into, which follow the order that the documents were written in: that of the mix."""
+    return packing.pack_in_order(docs)
 
 
 STAGES = [("language", by_language), ("toxicity", not_toxic), ("near_dedup", one_of_each), ("mix", mixed), ("pack", packed)]
