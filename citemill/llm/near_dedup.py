@@ -14,7 +14,8 @@ common, which is seldom enough. All pairs that pass are verified on full sets, s
 contracting links in rounds, in hashed order, so long chains take few rounds.
 
 Defined cases: null or blank texts have an empty set, link with nothing and are components of their own; fewer than five words are one
-shingle, the whole sequence. Rows that repeat a doc_id are one document with all their links. A row with a null doc_id links with nothing, has a null
+shingle, the whole sequence. Rows that repeat a doc_id are one document with all their links: classes of equal sets are what is compared, each by the text of one of
+its rows, and classes with a doc_id in common are linked. A row with a null doc_id links with nothing, has a null
 component and is kept. An empty table gives no rows. Only id and text are read, so clashing names do no harm.
 """
 
@@ -136,33 +137,35 @@ def _describe(text: str | None) -> tuple[int, bytes | None, list | None]:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, cls, bands) of each row."""
-    names, kinds = ["doc_id", "n_shingles", "cls", "bands"], [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+    """(doc_id, text_key, n_shingles, cls, bands) of each row; text_key tells the texts of one doc_id apart."""
+    names, kinds = ["doc_id", "text_key", "n_shingles", "cls", "bands"], [pa.int64(), pa.binary(), pa.list_(pa.int64())]
 
     def one(batches):
         for batch in batches:
-            found = [_describe(x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[i] for f in found], k) for i, k in enumerate(kinds[1:]))], names=names)
+            found = [_describe(x.as_py()) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([f[i] for f in found], k) for i, k in enumerate(kinds))], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(one, "doc_id long, n_shingles long, cls binary, bands array<long>")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text), text).mapInArrow(one, "doc_id long, text_key long, n_shingles long, cls binary, bands array<long>")
 
 
-def held_against(pairs: DataFrame, docs: DataFrame, with_lacking: bool = False) -> DataFrame:
-    """(a, b, n_a, n_b, both, lacking) for pairs (a, b) of doc_ids: sizes of the full sets and of their intersection, and, if asked for, the shingles of a that b lacks.
+def held_against(pairs: DataFrame, classes: DataFrame, docs: DataFrame, with_lacking: bool = False) -> DataFrame:
+    """(a, b, n_a, n_b, both, lacking) for pairs (a, b) of nodes: sizes of the full sets and of their intersection, and, if asked for, the shingles of a that b lacks.
 
-    A document that is in many pairs is a hot key of the second join: its pairs are dealt to as many salts as they are thousands, and its text is copied to each.
+    classes has the row (doc_id, text_key) whose text stands for a node. A node that is in many pairs is a hot key of the second join: its pairs are dealt to as many salts as they are thousands, and its text is copied to each.
     """
-    ids = materialized(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    ids = materialized(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes, "node").select("node", "doc_id", "text_key"))
     n_blocks = url_filters.blocks_for(ids.count())
-    once = Window.partitionBy("doc_id").orderBy(F.col("text"))
+    once = Window.partitionBy("node").orderBy(F.col("text"))
     rows = docs.select("doc_id", "text")
     if n_blocks <= url_filters.MAX_BROADCAST_BLOCKS:  # most documents are in no pair; a filter of a checked size keeps their texts out of the shuffle
         rows = url_filters.possible_hits(rows, "doc_id", url_filters.bloom(ids, "doc_id", n_blocks), n_blocks)
-    texts = materialized(rows.join(ids, "doc_id", "left_semi").withColumn("_r", F.row_number().over(once)).where("_r = 1").drop("_r"))
+    rows = rows.withColumn("text_key", F.xxhash64("text")).join(ids, ["doc_id", "text_key"]).select("node", "text")
+    texts = materialized(rows.withColumn("_r", F.row_number().over(once)).where("_r = 1").drop("_r"))
     salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / 1000).cast("int").alias("salts"))
     dealt = pairs.join(salts, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int")).select("a", "b", "salt")
-    right = texts.join(salts.withColumnRenamed("b", "doc_id"), "doc_id").select(F.col("doc_id").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("text").alias("b_text"))
-    joined = dealt.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a").join(right, ["b", "salt"])
+    right = texts.join(salts.withColumnRenamed("b", "node"), "node").select(F.col("node").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("text").alias("b_text"))
+    joined = dealt.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a").join(right, ["b", "salt"])
     names, kinds = ["n_a", "n_b", "both", "lacking"], [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
 
     def compare(batches):
@@ -216,18 +219,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     d = materialized(described(docs))
     full = d.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = full.groupBy("cls").agg(F.min("doc_id").alias("node"))
+    # a class's node is a number of its own, as one doc_id can be the smallest of many classes
+    classes = full.groupBy("cls").agg(F.min(F.struct("doc_id", "text_key")).alias("r"))
+    classes = materialized(classes.select("cls", "r.doc_id", "r.text_key", F.monotonically_increasing_id().alias("node")))
     # rows that repeat a doc_id with different texts are one document: their classes link through it
     again = full.groupBy("doc_id").agg(F.count_distinct("cls").alias("n")).where("n > 1")
-    members = full.select("doc_id", "cls").join(classes, "cls")
-    own_links = members.join(again, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    reps = full.join(classes, "cls").where("doc_id = node").dropDuplicates(["cls"]).select("node", F.explode("bands").alias("key"))
+    members = full.join(again, "doc_id", "left_semi").select("doc_id", "cls").distinct().join(classes.select("cls", "node"), "cls")
+    own_links = members.join(members.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b"))
+    reps = full.join(classes, ["cls", "doc_id", "text_key"]).dropDuplicates(["cls"]).select("node", F.explode("bands").alias("key"))
     shared = reps.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     buckets = materialized(reps.join(shared, "key"))
     company = buckets.groupBy("node").agg(F.sum("size").alias("company"))
     hubs = buckets.join(company, "node").groupBy("key").agg(F.max(F.struct("company", "node")).alias("h")).select("key", F.col("h.node").alias("hub"))
     stars = buckets.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    star = materialized(held_against(materialized(stars), docs, with_lacking=True))
+    star = materialized(held_against(materialized(stars), classes, docs, with_lacking=True))
     links = star.where(_linked(F.col("both"), F.col("n_a"), F.col("n_b"))).select("a", "b").union(own_links)
     found = components(links)
 
@@ -249,11 +254,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     x, y = bounded.select("b", "a", "c", "n_a", "most", "both").toDF("b", "x", "x_c", "x_n", "x_most", "x_both"), bounded.select("b", "a", "c", "n_a", "most", "both").toDF("b2", "y", "y_c", "y_n", "y_most", "y_both")
     by_hub = x.join(y, (F.col("b") == F.col("b2")) & (F.col("x") < F.col("y")) & (F.col("x_c") != F.col("y_c")) & (F.col("y_n") <= F.col("x_most")) & (F.col("x_n") <= F.col("y_most"))).select("x", "y")
     cross = materialized(early.union(by_hub).distinct().toDF("a", "b"))
-    more = held_against(cross, docs)
+    more = held_against(cross, classes, docs)
     found = components(links.union(more.where(_linked(F.col("both"), F.col("n_a"), F.col("n_b"))).select("a", "b")))
 
-    out = d.join(classes, "cls", "left").join(found, "node", "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "node"))
+    named = classes.select("cls", "node", F.col("doc_id").alias("least")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("cls", F.col("component_id").alias("found"))
+    out = d.join(named, "cls", "left")
+    component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("found"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
