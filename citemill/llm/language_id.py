@@ -32,7 +32,7 @@ SIDE = 2048
 SAMPLE_DOCS, WINDOWS_EACH = 600, 4
 STEPS, BATCH, RATE, SEED = 260, 192, 0.02, 7
 UNKNOWN = "und"
-#: The pipeline rejects documents whose pooled probability is below this.
+#: The pipeline rejects documents whose pooled probability is below this part of the way from chance (1 of the languages) to 1.
 LEAST_SCORE = 0.3
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -251,10 +251,18 @@ def identified(docs: DataFrame, net: Network | None, also: list[str] | None = No
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("_text"), *also).mapInArrow(label, schema)
 
 
+def least_score(net: Network) -> float:
+    """The pooled probability from which a document is accepted; with one language there is nothing to tell apart."""
+    chance = 1 / len(net.langs)
+    return chance + LEAST_SCORE * (1 - chance) if len(net.langs) > 1 else 0.0
+
+
 def accepted(docs: DataFrame) -> DataFrame:
-    """The documents whose language the network is sure enough of, with the columns that came in."""
-    found = identified(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_in")), fit(docs), ["_in"])
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("_in.*")
+    """The documents whose language the network is sure enough of, with the columns that came in. Without a network, all that have a letter."""
+    net = fit(docs)
+    found = identified(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_in")), net, ["_in"])
+    sure = F.col("score") == 0 if net is None else (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score(net))
+    return found.where(sure).select("_in.*")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
