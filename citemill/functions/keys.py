@@ -39,8 +39,7 @@ def ends_with_any(name: Column, some: tuple[str, ...]) -> Column:
 
 
 def _part(path: Column, pattern: str) -> Column:
-    got = F.regexp_extract(path, pattern, 1)
-    return F.when(got != "", got)
+    return F.nullif(F.regexp_extract(path, pattern, 1), F.lit(""))
 
 
 def source(path: Column, compat: bool = False) -> Column:

@@ -49,10 +49,12 @@ def extracted(scripts: DataFrame, compat: bool = False) -> DataFrame:
 def tally(imports: DataFrame) -> DataFrame:
     """(package, count): in how many repositories each package is imported. Rows without a key don't count.
 
-    Distinct, then count: both aggregate before they shuffle, so a package or a repository that is everywhere moves once a task.
+    Distinct, then count: both aggregate before they shuffle, so a package or a repository that is everywhere moves once a task. Keys are tested after that: a filter on
+    them would be pushed below the extraction, where they would be worked out a second time.
     """
-    once = imports.where(F.col("dataverse").isNotNull() & F.col("repo_id").isNotNull()).select("dataverse", "repo_id", "package").distinct()
-    return once.groupBy("package").agg(F.count("*").alias("count"))
+    once = imports.select("dataverse", "repo_id", "package").distinct()
+    keyed = F.count_if(F.col("dataverse").isNotNull() & F.col("repo_id").isNotNull())
+    return once.groupBy("package").agg(keyed.alias("count")).where("count > 0")
 
 
 def ranked(tallied: DataFrame, n: int | None = None) -> DataFrame:
@@ -70,8 +72,9 @@ def with_citation_rank(tallied: DataFrame) -> DataFrame:
 
 
 def repo_sets(imports: DataFrame) -> DataFrame:
-    """(dataverse, repo_id, packages): each repository's packages, sorted."""
-    return imports.where(F.col("dataverse").isNotNull() & F.col("repo_id").isNotNull()).groupBy("dataverse", "repo_id").agg(F.sort_array(F.collect_set("package")).alias("packages"))
+    """(dataverse, repo_id, packages): each repository's packages, sorted. Rows without a key have no package to collect, so that keys are worked out once, as in tally."""
+    keyed = F.when(F.col("dataverse").isNotNull() & F.col("repo_id").isNotNull(), F.col("package"))
+    return imports.groupBy("dataverse", "repo_id").agg(F.sort_array(F.collect_set(keyed)).alias("packages")).where(F.size("packages") > 0)
 
 
 def totals(imports: DataFrame) -> DataFrame:
