@@ -1,34 +1,35 @@
 """Toxicity by a support vector machine over a subsequence string kernel, with Nyström landmarks.
 
-The kernel of two words compares their subsequences of three characters: each occurrence counts DECAY to the power of the characters it
-skips, over at most SPAN characters, word start and end being characters too. So "idiot", "id-iot" and "idxiot" stay close, while unrelated words share next
-to nothing. It is normalised by what a word of that length has at most.
+The kernel compares sentences by their subsequences of LENGTH characters: each occurrence counts DECAY to the power of the characters that it skips, over at most SPAN
+characters. Blanks are characters, so a subsequence can lie across words; all else but letters and digits is left out, and letters that stand alone in a row are joined. So "idiot", "id-iot",
+"idxiot" and "i d i o t" stay close, whatever is around them. A sentence's features are divided by the root of its length.
 
-The machine works in the space that the landmarks span: K(x, landmarks) K(landmarks, landmarks) ** -0.5, and is linear there. As the kernel's features can be
-numbered (64 character classes, three at a time), the weights of all landmarks fold into one table, and a word's margin is a weighted sum over its
-subsequences: the same value as the landmark form, at a cost that doesn't depend on their number.
+Sentences end at line breaks and at . ! ? before a blank. A longer one is read through windows of WINDOW characters, STEP apart, so that an insult weighs as much in a long sentence as in a
+short one. Training examples, landmarks and what is scored are all such sentences; no list of words takes part.
 
-It is trained on labelled sentences. A sentence counts as its highest word, and a document as its highest sentence. Every sentence of a clean document is clean; of a toxic
-document, the sentence with its highest word is toxic. As that word isn't known, training goes in rounds: the first ones are words with the
-starts of four characters that toxic documents have far more often than clean ones; then the machine's own choice. Clean words that score high join the clean
-ones of the next round, and toxic words also take part with a character inserted. A logistic curve over document margins gives the score.
+The machine works in the space that the landmarks span: K(x, landmarks) K(landmarks, landmarks) ** -0.5, and is linear there, with squared hinge loss. As the kernel's features can be numbered
+(32 character classes, LENGTH at a time, hashed to 22 bits), the weights of all landmarks fold into one table, and a sentence's margin is a weighted sum over its subsequences: the same value as the
+landmark form, at a cost that doesn't depend on their number.
 
-The sample is bounded: about SAMPLE_DOCS documents of each label, chosen by hash, of up to SAMPLE_CHARS characters. Rows that are held out never enter it.
+It is trained on labelled sentences. Labels are of documents: all sentences of a clean document are clean, and one at least of a toxic document is toxic. As that one isn't known, training goes in rounds:
+first come the sentences with LENGTH characters in a row that go with toxic documents far more than by chance; then the machine's own choice. Clean sentences that score high join
+the clean ones of the next round, and toxic ones also take part with a character inserted or doubled. A document has three numbers: its highest margin, and the logarithms of 1 + the sum of its margins above 0 and of 1 + the number of its sentences, as
+a long document has high margins by chance. A logistic curve over them, fitted to documents that the machine at hand hasn't seen and weighed by how common each label is, gives the score.
 
-Words are runs without blanks, lower-cased, with all but letters and digits taken out; words over WINDOW characters are taken in
-overlapping windows; three or more single characters in a row are also read as one word.
+The sample is bounded: about SAMPLE_DOCS documents of each label, chosen by hash, of up to SAMPLE_CHARS characters. Rows that are held out never enter it, and the numbers below were chosen by
+cross-validation within rows that aren't held out.
 
-Defined cases: null and empty texts have no word and get the lowest score that the curve gives. Without toxic or without clean labels every score
-is 0. Repeated rows are scored each. A null doc_id isn't held out. An empty table gives no rows. Only id and text (and the labels' doc_id and toxic) are
+Defined cases: null and empty texts have no sentence and have no margin above 0 and get the score of margin LOWEST. Very long texts are read whole, in pieces of PIECE characters that overlap. Without toxic or without
+clean labels every score is 0. Repeated rows are scored each; equal texts have equal scores. A null doc_id isn't held out. An empty table gives no rows. Only id and text (and the labels' doc_id and toxic) are
 read, so clashing names do no harm; a doc_id with several labels is toxic if one says so.
 """
 
 from __future__ import annotations
 
-import re
+import functools
+import itertools
 import zlib
-from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -38,213 +39,341 @@ from pyspark.sql import types as T
 
 from citemill.llm.common import held_out, table
 
-DECAY, SPAN = 0.5, 6
-WINDOW = 16
-LANDMARKS = 448
-ROUNDS = 3
-RIDGE = 1e-5
-#: Share of the loss that toxic words weigh.
+LENGTH, SPAN, DECAY = 5, 7, 0.5
+#: A sentence counts as SHORTEST characters at least.
+WINDOW, STEP, SHORTEST = 16, 4, 8
+LANDMARKS, ROUNDS, RIDGE = 768, 2, 1e-4
+#: Share of the loss that toxic sentences weigh.
 TOXIC_SHARE = 0.35
 SAMPLE_DOCS, SAMPLE_CHARS = 1500, 20_000
-CLEAN_WORDS, HARD_WORDS = 6000, 3000
-#: Words whose first four characters have at least this log likelihood ratio to go with toxic documents, and are in no clean one, train as toxic throughout.
+CLEAN_SENTENCES, HARD_SENTENCES, TOXIC_SENTENCES = 2500, 2000, 1500
+#: Characters in a row go with toxic documents from this log likelihood ratio on.
 LEAST_EVIDENCE = 8.0
-#: Copies of each toxic word with a character inserted or doubled.
-TORN = 3
+#: Copies of each toxic sentence with a character inserted or doubled.
+TORN = 1
+#: Parts that the curve's documents are dealt to; each is scored by a machine that learned from the others.
+FOLDS = 2
+LOWEST = -1.0
 THRESHOLD = 0.3
 SEED = 11
-#: Words whose margins a worker remembers.
-REMEMBERED = 400_000
-
-_START, _END = 62, 63
-_SPELLED = re.compile(r"(?<!\S)(?:\S[ \t]){2,}\S(?!\S)")
-_JUNK = re.compile(r"[\W_]+")
-_SENTENCE = re.compile(r"[.!?\n]+")
-
-
-def normal(word: str) -> str:
-    return _JUNK.sub("", word)
-
-
-def words(text: str | None) -> set[str]:
-    """Distinct words of a text as they stand, lower-cased, with spelled-out ones added."""
-    if not text:
-        return set()
-    low = text.lower()
-    found = set(low.split())
-    found.update(m.replace(" ", "").replace("\t", "") for m in _SPELLED.findall(low))
-    return found
-
-
-def views(word: str) -> list[str]:
-    """A normal word, or its overlapping windows if it is long."""
-    if len(word) <= WINDOW:
-        return [word] if word else []
-    return [word[i : i + WINDOW] for i in range(0, len(word) - WINDOW // 2, WINDOW // 2)]
-
-
-def _codes(of_length: list[str]) -> np.ndarray:
-    """(n, length + 2) character classes of words of one length: 0-25 letters, 26-35 digits, 36-61 all others by code point."""
-    points = np.frombuffer("".join(of_length).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(of_length), -1).astype(np.int64)
-    codes = np.where((points >= 97) & (points < 123), points - 97, np.where((points >= 48) & (points < 58), points - 22, 36 + points % 26))
-    edge = np.ones((len(of_length), 1), np.int64)
-    return np.hstack([edge * _START, codes, edge * _END])
-
-
-def _triples(n: int) -> list[tuple[int, int, int, float]]:
-    """Places and weights of all subsequences of three in n characters."""
-    return [(i, j, k, DECAY ** (k - i - 2)) for i in range(n) for k in range(i + 2, min(n, i + SPAN)) for j in range(i + 1, k)]
-
-
-def subsequences(some: list[str]):
-    """For each length: (places in the list, feature ids (n, triples), weights (triples) divided by the norm)."""
-    lengths = np.fromiter(map(len, some), np.int64, len(some))
-    for n in np.unique(lengths):
-        at = np.flatnonzero(lengths == n)
-        c = _codes([some[i] for i in at])
-        t = _triples(c.shape[1])
-        i, j, k = (np.array([x[a] for x in t]) for a in range(3))
-        w = np.array([x[3] for x in t])
-        yield at, (c[:, i] << 12) | (c[:, j] << 6) | c[:, k], w / np.sqrt((w * w).sum())
-
-
-def margins_of(some: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
-    out = np.empty(len(some))
-    for at, ids, w in subsequences(some):
-        for s in range(0, len(at), 4096):
-            out[at[s : s + 4096]] = weights[ids[s : s + 4096]] @ w
-    return out + bias
-
-
-def features(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(place of each feature or -1, (places + 1, n) values) of the features that occur in some; the last row is zero, for features that don't."""
-    parts = list(subsequences(some))
-    used = np.unique(np.concatenate([ids.ravel() for _, ids, _ in parts]))
-    place = np.full(1 << 18, -1, np.int32)
-    place[used] = np.arange(len(used))
-    out = np.zeros((len(used) + 1, len(some)), np.float32)
-    for at, ids, w in parts:
-        np.add.at(out, (place[ids], at[:, None]), w.astype(np.float32)[None, :])
-    return place, out
-
-
-def kernel(some: list[str], landmarks: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """(n, landmarks) kernel values, given the landmarks' features."""
-    place, values = landmarks
-    out = np.zeros((len(some), values.shape[1]))
-    for at, ids, w in subsequences(some):
-        for s in range(0, len(at), 256):
-            out[at[s : s + 256]] = np.matmul(w.astype(np.float32)[None, None, :], values[place[ids[s : s + 256]]])[:, 0]
+PIECE, OVERLAP = 1 << 20, 64
+
+#: Character classes: end of a sentence, letters from 1 on, blank, digits, other letters by code point; and two that don't stay.
+END, BLANK, DIGIT, OTHER, LEFT_OUT, STOP = 0, 27, 28, 29, 254, 255
+BITS = 22
+#: Places of the characters after the first, for each way to skip.
+WAYS = [(*inner, last) for last in range(LENGTH - 1, SPAN) for inner in itertools.combinations(range(1, last), LENGTH - 2)]
+_UNIT = float(np.sqrt(sum(DECAY ** (2 * (way[-1] - LENGTH + 1)) for way in WAYS)))
+_TAIL = np.zeros(SPAN, np.uint8)
+
+
+@functools.cache
+def _classes() -> np.ndarray:
+    """The class of each code point."""
+    out = np.fromiter((BLANK if chr(i).isspace() else OTHER + i % 3 if chr(i).isalnum() else LEFT_OUT for i in range(0x110000)), np.uint8, 0x110000)
+    out[97:123] = np.arange(1, 27)
+    out[48:58] = DIGIT
+    out[10] = END
+    out[[33, 46, 63]] = STOP
     return out
 
 
+def codes(text: str) -> np.ndarray:
+    """The character classes of a text: every sentence between blanks, and SPAN ends between sentences, so that no subsequence without an end in it reaches from one into another."""
+    c = _classes()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")]
+    stops = np.flatnonzero(c == STOP)
+    c[stops] = np.where(np.isin(np.append(c, END)[stops + 1], (END, BLANK, STOP)), END, LEFT_OUT)
+    c = np.concatenate([[END], c[c != LEFT_OUT], [END]]).astype(np.uint8)
+    gap = (c == BLANK) | (c == END)
+    first = np.flatnonzero(gap & ~np.append(False, gap[:-1]))
+    c[first] = np.where(np.maximum.reduceat(c == END, first), END, BLANK)  # of a row of blanks and ends one stays
+    keep = ~gap
+    keep[first] = True
+    c = c[keep]
+    gap = (c == BLANK) | (c == END)
+    alone = np.zeros(len(c) + 2, bool)
+    alone[2:-2] = ~gap[1:-1] & gap[:-2] & gap[2:]
+    c = c[~((c == BLANK) & alone[:-2] & alone[2:])]  # letters spelled out
+    times = np.where(c == END, SPAN + 2, 1)
+    out = np.repeat(c, times)
+    after = np.cumsum(times)[c == END]
+    out[after - 1] = out[after - SPAN - 2] = BLANK
+    return out
+
+
+def sentences(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the sentences of codes, long ones as windows."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], c != END, [False]]).view(np.int8)))
+    a, b = edge[::2], edge[1::2]
+    a, b = a[b - a > 2], b[b - a > 2]  # more than the blanks around it
+    n = 1 + -(-np.maximum(0, b - a - WINDOW) // STEP)
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    starts = np.repeat(a, n) + place * STEP
+    return starts, np.minimum(starts + WINDOW, np.repeat(b, n))
+
+
+def norms(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return _UNIT * np.sqrt(np.maximum(ends - starts, SHORTEST))
+
+
+def subsequences(c: np.ndarray, n: int):
+    """For each way to skip: feature ids by start, for the first n starts, and weights, which are 0 where a sentence ends before the subsequence."""
+    x = np.concatenate([c, _TAIL])[: n + SPAN]
+    inside = (x != END).astype(np.float32)
+    shifted = [x.astype(np.uint32) << np.uint32(5 * (LENGTH - 1 - j)) for j in range(LENGTH)]
+    for way in WAYS:
+        ids = shifted[0][:n].copy()
+        for j, o in enumerate(way, 1):
+            ids |= shifted[j][o : o + n]
+        ids *= np.uint32(0x9E3779B1)
+        ids >>= np.uint32(32 - BITS)
+        yield ids, inside[way[-1] : way[-1] + n] * np.float32(DECAY ** (way[-1] - LENGTH + 1))
+
+
+def margins(c: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
+    """Margins of the sentences of codes, by the table over subsequences."""
+    sums = np.zeros(len(c) + 1)
+    for at in range(0, len(c), PIECE):
+        n = min(PIECE, len(c) - at)
+        for ids, w in subsequences(c[at : at + n + SPAN], n):
+            w *= weights[ids]
+            sums[at + 1 : at + n + 1] += w
+    np.cumsum(sums, out=sums)
+    return (sums[ends] - sums[starts]) / norms(starts, ends) + bias
+
+
+def features(c: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sentence, feature, value) of all subsequences that start in the sentences of codes."""
+    n = ends - starts
+    owner = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    wide = int(n.max(initial=0)) + SPAN
+    near = np.concatenate([c, np.zeros(wide, np.uint8)])[starts[:, None] + np.arange(wide)]
+    flat = np.repeat(np.arange(len(n)) * wide, n) + place
+    unit = (1 / norms(starts, ends))[owner]
+    parts = [(owner, ids[flat], w[flat] * unit) for ids, w in subsequences(near.ravel(), near.size)]
+    sentence, feature, value = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return sentence[value > 0], feature[value > 0], value[value > 0]
+
+
+def kernel(some: tuple, landmarks: tuple, n_some: int, n_landmarks: int) -> np.ndarray:
+    """(n_some, n_landmarks) kernel values of sentences, given their features."""
+    sentence, feature, value = some
+    order = np.argsort(landmarks[1], kind="stable")
+    mark, own, weight = (x[order] for x in landmarks)
+    known, first, count = np.unique(own, return_index=True, return_counts=True)
+    at = np.minimum(np.searchsorted(known, feature), len(known) - 1)
+    hits = np.flatnonzero(known[at] == feature)
+    out = np.zeros(n_some * n_landmarks)
+    for part in np.array_split(hits, max(1, len(hits) // 100_000)):
+        times = count[at[part]]
+        of = np.repeat(part, times)
+        k = np.repeat(first[at[part]] - np.cumsum(times) + times, times) + np.arange(len(of))
+        np.add.at(out, sentence[of] * np.int64(n_landmarks) + mark[k], value[of] * weight[k])
+    return out.reshape(n_some, n_landmarks)
+
+
 @dataclass
 class Machine:
-    """Margins by a table over subsequences, and the logistic curve over document margins."""
+    """The table over subsequences (its entries that aren't 0), and the logistic curve over the numbers of a document."""
 
-    weights: np.ndarray
+    ids: np.ndarray
+    values: np.ndarray
     bias: float
-    floor: float
-    slope: float = 1.0
-    shift: float = 0.0
+    curve: np.ndarray = field(default_factory=lambda: np.array([1.0, 0.0, 0.0, 0.0]))
 
-    def score(self, margin):
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -500, 500)))
+    def table(self) -> np.ndarray:
+        out = np.zeros(1 << BITS, np.float32)
+        out[self.ids] = self.values
+        return out
 
+    def score(self, text: str | None, weights: np.ndarray) -> float:
+        """0 to 1; weights is table()."""
+        best, total, n, text = LOWEST, 0.0, 0, text or ""
+        for at in range(0, max(1, len(text) - OVERLAP), PIECE):
+            c = codes(text[at : at + PIECE + OVERLAP])
+            starts, ends = sentences(c)
+            if len(starts):
+                m = margins(c, starts, ends, weights, self.bias)
+                best, total, n = max(best, float(m.max())), total + float(np.maximum(m, 0).sum()), n + len(m)
+        return float(logistic(np.array([[best, np.log1p(total), np.log1p(n), 1.0]]), self.curve)[0])
 
-def fit_margins(toxic: list[str], torn: list[str], clean: list[str], hard: list[str] | None = None, n_landmarks: int = LANDMARKS, seed: int = SEED) -> tuple[np.ndarray, float]:
-    """(weights over features, bias) of the machine for toxic words (the most common first), torn ones and clean ones: squared hinge loss.
 
-    Landmarks: a quarter the most common toxic words, a quarter other toxic ones, a quarter the clean words that are hardest to tell (hard, hardest first), and other clean ones.
-    """
-    rng = np.random.default_rng(seed)
-    first, rest = toxic[: n_landmarks // 4], toxic[n_landmarks // 4 :]
-    chosen = first + [rest[i] for i in rng.permutation(len(rest))[: n_landmarks // 4]]
-    chosen += (hard or [])[: n_landmarks // 4]
-    chosen = list(dict.fromkeys(chosen + [clean[i] for i in rng.permutation(len(clean))]))[:n_landmarks]
-    toxic = toxic + torn
-    land = features(chosen)
-    own = kernel(chosen, land)
+def logistic(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+
+
+@dataclass
+class Sample:
+    """The codes of labelled documents in a row, and their sentences."""
+
+    c: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    owner: np.ndarray
+    toxic: np.ndarray
+
+    @classmethod
+    def of(cls, docs: list[tuple[str, int]]) -> Sample:
+        parts, at, starts, ends, owner = [_TAIL], SPAN, [], [], []
+        for i, (text, _) in enumerate(docs):
+            c = codes(text)
+            s, e = sentences(c)
+            parts.append(c)
+            starts.append(s + at)
+            ends.append(e + at)
+            owner.append(np.full(len(s), i, np.int32))
+            at += len(c)
+        return cls(np.concatenate(parts), np.concatenate(starts), np.concatenate(ends), np.concatenate(owner), np.array([t for _, t in docs], np.int64))
+
+    def best(self, value: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Of the sentences of (ascending), each document's with the highest value."""
+        groups = np.split(of, np.flatnonzero(np.diff(self.owner[of])) + 1)
+        return np.array([g[np.argmax(value[g])] for g in groups if len(g)], np.int64)
+
+    def apart(self, some: np.ndarray, n: int) -> np.ndarray:
+        """The first n of some sentences, without those that lie where an earlier one does."""
+        kept = np.sort(np.unique(self.starts[some] // WINDOW, return_index=True)[1])
+        return some[kept][:n]
+
+    def evidence(self) -> np.ndarray:
+        """By sentence: how much likelier the counts of its most telling LENGTH characters in a row are with a rate of their own in toxic documents than with the common one; 0 if they are rarer there."""
+        share = self.toxic.mean()
+        first = np.searchsorted(self.owner, np.arange(len(self.toxic) + 1))
+        lo = np.append(self.starts, len(self.c))[first]
+        k, m = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
+        ids, whole = next(subsequences(self.c, len(self.c)))
+        for i, t in enumerate(self.toxic):
+            (k if t else m)[np.unique(ids[lo[i] : lo[i + 1]])] += 1
+        told = np.flatnonzero(k > share * (k + m))
+        a, b = k[told].astype(float), m[told].astype(float)
+        ratio = np.zeros(1 << BITS, np.float32)
+        ratio[told] = a * np.log(a / (a + b) / share) + b * np.log(np.maximum(b, 1) / (a + b) / (1 - share))
+        by_start = ratio[ids] * (whole > 0)
+        out = np.zeros(len(self.starts), np.float32)
+        for j in range(WINDOW):
+            at = self.starts + j
+            inside = at + LENGTH <= self.ends
+            out[inside] = np.maximum(out[inside], by_start[at[inside]])
+        return out
+
+
+def torn(c: np.ndarray, starts: np.ndarray, ends: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, starts, ends) of copies of sentences with a letter inserted or a character doubled."""
+    parts, s, e, at = [_TAIL], [], [], SPAN
+    for a, b in zip(starts, ends, strict=True):
+        for _ in range(TORN):
+            k = a + int(rng.integers(1, b - a))
+            new = rng.integers(1, 27) if rng.random() < 0.7 or c[k - 1] == BLANK else c[k - 1]
+            parts += [c[a:k], np.array([new], np.uint8), c[k : b + SPAN - 1], _TAIL]
+            s.append(at)
+            e.append(at + b - a + 1)
+            at += sum(map(len, parts[-4:]))
+    return np.concatenate(parts), np.array(s, np.int64), np.array(e, np.int64)
+
+
+def fit_margins(some: tuple, y: np.ndarray, landmarks: tuple, n_landmarks: int) -> tuple[np.ndarray, float]:
+    """(weights over features, bias) of the machine for the features of sentences with labels y (1 toxic, -1 clean) and those of landmarks: squared hinge loss."""
+    own = kernel(landmarks, landmarks, n_landmarks, n_landmarks)
     values, vectors = np.linalg.eigh((own + own.T) / 2)
     keep = values > 1e-6 * values[-1]
     root = vectors[:, keep] / np.sqrt(values[keep])
-    x = kernel(toxic + clean, land) @ root
-    y = np.r_[np.ones(len(toxic)), -np.ones(len(clean))]
-    c = np.r_[np.full(len(toxic), TOXIC_SHARE / len(toxic)), np.full(len(clean), (1 - TOXIC_SHARE) / len(clean))]
-    x1 = np.hstack([x, np.ones((len(x), 1))])
-    w, ridge = np.zeros(x1.shape[1]), np.r_[np.full(x.shape[1], RIDGE), 1e-8]
+    x = np.hstack([kernel(some, landmarks, len(y), n_landmarks) @ root, np.ones((len(y), 1))])
+    c = np.where(y > 0, TOXIC_SHARE / max(1, (y > 0).sum()), (1 - TOXIC_SHARE) / max(1, (y < 0).sum()))
+    w, ridge = np.zeros(x.shape[1]), np.r_[np.full(x.shape[1] - 1, RIDGE), 1e-8]
     for _ in range(30):  # Newton steps on the rows within the margin
-        inside = y * (x1 @ w) < 1
-        xi, ci = x1[inside], c[inside]
+        inside = y * (x @ w) < 1
+        xi, ci = x[inside], c[inside]
         new = np.linalg.solve((xi * ci[:, None]).T @ xi + np.diag(ridge), xi.T @ (ci * y[inside]))
         if np.allclose(new, w, atol=1e-6):
             break
         w = new
-    place, found = land
-    weights = np.zeros(1 << 18)
-    weights[place >= 0] = (found[:-1] @ (root @ w[:-1]))[place[place >= 0]]
-    return weights, float(w[-1])
-
-
-def distinct_enough(docs: list[tuple[list[str], int]]) -> list[tuple[list[str], int]]:
-    """Documents without the near copies, whose words would look telling only for being copied: of those that share their least-hashed word, one that has over half of its words in common with an earlier one goes."""
+    by_landmark = root @ w[:-1]
+    return np.bincount(landmarks[1], by_landmark[landmarks[0]] * landmarks[2], 1 << BITS).astype(np.float32), float(w[-1])
+
+
+def fit_sentences(d: Sample, rng: np.random.Generator) -> tuple[np.ndarray, float]:
+    """(weights, bias) from labelled documents, in rounds."""
+    top, of_toxic = d.evidence(), d.toxic[d.owner] == 1
+    in_toxic, in_clean = np.flatnonzero(of_toxic), np.flatnonzero(~of_toxic)
+    witness = d.best(top, in_toxic)
+    witness = witness[top[witness] >= LEAST_EVIDENCE] if (top[witness] >= LEAST_EVIDENCE).any() else witness  # a document without a telling sentence may be labelled in error
+    marked = in_toxic[np.argsort(-top[in_toxic], kind="stable")]
+    marked = d.apart(marked[top[marked] >= LEAST_EVIDENCE], 4 * TOXIC_SENTENCES)
+    base, hard = rng.permutation(in_clean)[:CLEAN_SENTENCES], np.empty(0, np.int64)
+    for _ in range(ROUNDS):
+        toxic = rng.permutation(np.unique(np.concatenate([witness, marked])))[:TOXIC_SENTENCES]
+        clean = np.unique(np.concatenate([base, hard]))
+        land = np.array(list(dict.fromkeys([*toxic[: LANDMARKS // 2], *hard[: LANDMARKS // 4], *base[: LANDMARKS // 2]]))[:LANDMARKS])
+        parts = [(d.c, d.starts[toxic], d.ends[toxic]), (d.c, d.starts[clean], d.ends[clean]), torn(d.c, d.starts[toxic], d.ends[toxic], rng)]
+        n = [len(s) for _, s, _ in parts]
+        found = [features(*x) for x in parts]
+        some = np.concatenate([f[0] + sum(n[:i]) for i, f in enumerate(found)]), *(np.concatenate([f[j] for f in found]) for j in (1, 2))
+        weights, bias = fit_margins(some, np.repeat([1.0, -1.0, 1.0], n), features(d.c, d.starts[land], d.ends[land]), len(land))
+        m = margins(d.c, d.starts, d.ends, weights, bias)
+        # a clean sentence with a telling row of characters is in a document that may be labelled in error
+        high = in_clean[np.argsort(-m[in_clean], kind="stable")]
+        hard = d.apart(high[(top[high] < LEAST_EVIDENCE) & (m[high] > -1)], HARD_SENTENCES)
+        own = d.best(m, in_toxic)
+        own = own[(m[own] > 0) & (top[own] > LEAST_EVIDENCE / 2)]
+        witness = own if len(own) else witness
+    return weights, bias
+
+
+def distinct_enough(sample: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """Documents without the near copies, whose sentences would look telling only for being copied: of those that share their least-hashed word, one that has over half of its words in common with an earlier one goes. Documents without words go."""
     kept: dict[str, list[set[str]]] = {}
     out = []
-    for d, t in docs:
-        own, key = set(d), min(d, key=lambda w: zlib.crc32(w.encode()))
-        if all(2 * len(own & other) <= len(own | other) for other in kept.get(key, ())):
-            kept.setdefault(key, []).append(own)
-            out.append((d, t))
+    for text, toxic in sample:
+        own = set(text.lower().split())
+        if own and _has_sentence(text):
+            key = min(own, key=lambda w: zlib.crc32(w.encode("utf-8", "surrogatepass")))
+            if all(2 * len(own & other) <= len(own | other) for other in kept.get(key, ())):
+                kept.setdefault(key, []).append(own)
+                out.append((text, toxic))
     return out
 
 
-def learn(sample: list[tuple[str, int]], seed: int = SEED) -> Machine | None:
-    """The machine for labelled documents; None unless both labels occur."""
+def _has_sentence(text: str) -> bool:
+    return len(sentences(codes(text))[0]) > 0
+
+
+def learn(sample: list[tuple[str, int]], counts: dict[int, int] | None = None, seed: int = SEED) -> Machine | None:
+    """The machine for labelled documents; None unless both labels occur. counts: how many documents have each label where the sample was drawn, as the sample may hold one label more often. With fewer than FOLDS documents of a label the curve is fitted to the margins that the machine itself learned from."""
     rng = np.random.default_rng(seed)
-    docs = [(sorted({v for s in _SENTENCE.split(text) for w in words(s) for v in views(normal(w))} | {v for w in words(text) for v in views(normal(w))}), toxic) for text, toxic in sample]
-    docs = distinct_enough([(d, t) for d, t in docs if d])
-    n1, n0 = sum(t for _, t in docs), sum(1 - t for _, t in docs)
+    sample = distinct_enough(sample)
+    toxic = np.array([t for _, t in sample], np.int64)
+    n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
     if not n1 or not n0:
         return None
-    starts: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    for d, t in docs:
-        starts[t].update({w[:4] for w in d})
-    share = n1 / (n1 + n0)
-
-    def evidence(w: str) -> float:
-        """How much likelier the counts of a word's start are with a rate of its own in toxic documents than with the common one; 0 if it is rarer there."""
-        k, c = starts[1][w[:4]], starts[0][w[:4]]
-        return k * np.log(k / (k + c) / share) + (c * np.log(c / (k + c) / (1 - share)) if c else 0.0) if k > share * (k + c) else 0.0
-
-    vocabulary = sorted({w for d, t in docs if not t for w in d})
-    clean = [vocabulary[i] for i in rng.permutation(len(vocabulary))[:CLEAN_WORDS]]
-    common = Counter(w for d, t in docs if not t for w in d)
-    clean = sorted({*clean, *(w for w, _ in common.most_common(CLEAN_WORDS // 4))})
-    known = set(vocabulary)
-    marked = [w for d, t in docs if t for w in d if w not in known and evidence(w) >= LEAST_EVIDENCE]
-    witness = [max(d, key=evidence) for d, t in docs if t]
-    witness = [w for w in witness if evidence(w) >= LEAST_EVIDENCE] or witness  # a document without a telling word may be labelled in error
-    weights, bias, hard = np.zeros(1 << 18), 0.0, []
-    for _ in range(ROUNDS):
-        often = Counter([w for w in witness if w not in known] + marked) or Counter(witness)
-        toxic = [w for w, _ in sorted(often.items(), key=lambda x: (-x[1], x[0]))]
-        torn = [w[:k] + (chr(97 + rng.integers(26)) if rng.random() < 0.7 else w[k - 1]) + w[k:] for w in toxic if len(w) > 3 for k in rng.integers(1, len(w), TORN)]
-        weights, bias = fit_margins(toxic, [w for w in torn if w not in known], clean, hard, seed=seed)
-        scored = margins_of(vocabulary, weights, bias)
-        hard = [vocabulary[i] for i in np.argsort(-scored, kind="stable")[:HARD_WORDS] if scored[i] > -1]
-        clean = sorted({*clean, *hard})
-        best = [(m.max(), d[int(m.argmax())]) for d, t in docs if t for m in [margins_of(d, weights, bias)]]
-        witness = [w for m, w in best if m > 0] or witness
-    floor = float(scored.min())
-    machine = Machine(weights.astype(np.float32), bias, min(floor, bias, -1.0))
-    m = np.array([margins_of(d, machine.weights, bias).max() for d, _ in docs])
-    y = np.array([t for _, t in docs], float)
-    target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    x, w = np.c_[m, np.ones(len(m))], np.array([1.0, 0.0])
+    weights, bias = fit_sentences(Sample.of(sample), rng)
+    ids = np.flatnonzero(weights)
+    machine = Machine(ids.astype(np.int32), weights[ids], bias)
+    part = np.zeros(len(sample), np.int64)
+    for t in (0, 1):  # both labels in every part
+        of = np.flatnonzero(toxic == t)
+        part[rng.permutation(of)] = np.arange(len(of)) % FOLDS
+    x = np.ones((len(sample), 4))
+    for j in range(FOLDS):
+        out = np.flatnonzero(part == j)
+        if min(n0, n1) >= FOLDS:
+            weights, bias = fit_sentences(Sample.of([s for s, k in zip(sample, part, strict=True) if k != j]), rng)
+        d = Sample.of([sample[i] for i in out]) if len(out) else None
+        if d is not None:
+            m = margins(d.c, d.starts, d.ends, weights, bias)
+            best, total = np.full(len(out), LOWEST), np.zeros(len(out))
+            np.maximum.at(best, d.owner, m)
+            np.add.at(total, d.owner, np.maximum(m, 0))
+            x[out, :3] = np.c_[best, np.log1p(total), np.log1p(np.bincount(d.owner, minlength=len(out)))]
+    target = np.where(toxic == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    counts = counts or {0: n0, 1: n1}
+    each = np.where(toxic == 1, counts[1] / n1, counts[0] / n0)
+    each *= len(sample) / each.sum()
+    w = machine.curve
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w = w + np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (target - p) - 1e-3 * w)
-    machine.slope, machine.shift = float(max(w[0], 1e-3)), float(w[1])
+        p = logistic(x, w)
+        w = w + np.linalg.solve((x * (each * p * (1 - p) + 1e-6)[:, None]).T @ x + 1e-3 * np.eye(4), x.T @ (each * (target - p)) - 1e-3 * w)
+    machine.curve = np.r_[np.maximum(w[:2], [1e-3, 0.0]), w[2:]]  # never lower for a higher margin
     return machine
 
 
@@ -259,7 +388,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> M
     short = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS)
     told = F.broadcast(told.limit(4 * sample_docs))  # bounded by the parameter
     sample = short.join(told, "doc_id").select("doc_id", "text", "toxic").limit(4 * sample_docs).collect()
-    return learn([(r["text"], r["toxic"]) for r in sorted(sample, key=lambda r: (r["doc_id"], r["text"]))])
+    return learn([(r["text"], r["toxic"]) for r in sorted(sample, key=lambda r: (r["doc_id"], r["text"]))], counts)
 
 
 def scored(docs: DataFrame, machine: Machine | None, also: list[str] | None = None) -> DataFrame:
@@ -268,24 +397,9 @@ def scored(docs: DataFrame, machine: Machine | None, also: list[str] | None = No
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType()), *(docs.schema[c] for c in also)])
 
     def run(batches):
-        margin: dict[str, float] = {}
+        weights = None if machine is None else machine.table()
         for batch in batches:
-            out = []
-            for text in batch.column(1):
-                if machine is None:
-                    out.append(0.0)
-                    continue
-                found = words(text.as_py())
-                if new := [w for w in found if w not in margin]:
-                    if len(margin) + len(new) > REMEMBERED:
-                        margin.clear()
-                        new = list(found)
-                    parts = [(i, v) for i, w in enumerate(new) for v in views(normal(w))]
-                    best = np.full(len(new), machine.floor)
-                    if parts:
-                        np.maximum.at(best, [i for i, _ in parts], margins_of([v for _, v in parts], machine.weights, machine.bias))
-                    margin.update(zip(new, best.tolist(), strict=True))
-                out.append(float(machine.score(max(map(margin.__getitem__, found), default=machine.floor))))
+            out = [0.0 if machine is None else machine.score(text.as_py(), weights) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64()), *(batch.column(2 + i) for i in range(len(also)))], names=["doc_id", "score", *also])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("_text"), *also).mapInArrow(run, schema)

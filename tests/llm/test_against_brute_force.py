@@ -250,16 +250,6 @@ def test_toxicity_on_held_out_rows(spark):
     assert right[label == 1].mean() > 0.93 and right[label == 0].mean() > 0.98
 
 
-def test_kernel_is_that_of_landmarks():
-    words = ["idiot", "id1ot", "house", "houses"]
-    place, values = toxicity.features(words)
-    k = toxicity.kernel(words, (place, values))
-    assert np.allclose(k, k.T, atol=1e-5) and k[0, 1] > k[0, 2] and k[2, 3] > 0.5
-    weights, bias = toxicity.fit_margins(["idiot", "moron"], ["idxiot"], ["house", "mouse", "tree"], n_landmarks=8)
-    got = toxicity.margins_of(["idiot", "id-iot".replace("-", ""), "house"], weights, bias)
-    assert got[0] > 0 > got[2] and got[0] == got[1]
-
-
 def test_held_out_rule(spark):
     got = spark.range(500).select("id", common.held_out(common.F.col("id")).alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 4 == 2) for r in got)
