@@ -16,7 +16,7 @@ first come the sentences with LENGTH characters in a row that go with toxic docu
 the clean ones of the next round, and toxic ones also take part with a character inserted or doubled. A document has three numbers: its highest margin, and the logarithms of 1 + the sum of its margins above 0 and of 1 + the number of its sentences, as
 a long document has high margins by chance. A logistic curve over them, fitted to documents that the machine at hand hasn't seen and weighed by how common each label is, gives the score.
 
-The sample is bounded: about SAMPLE_DOCS documents of each label, chosen by hash, of up to SAMPLE_CHARS characters. Rows that are held out never enter it, and the numbers below were chosen by
+The sample is bounded: about TOXIC_DOCS toxic and CLEAN_DOCS clean documents, chosen by hash, of up to SAMPLE_CHARS characters. Rows that are held out never enter it, and the numbers below were chosen by
 cross-validation within rows that aren't held out.
 
 Defined cases: null and empty texts have no sentence and have no margin above 0 and get the score of margin LOWEST. Very long texts are read whole, in pieces of PIECE characters that overlap. Without toxic or without
@@ -45,18 +45,20 @@ WINDOW, STEP, SHORTEST = 16, 4, 8
 LANDMARKS, ROUNDS, RIDGE = 768, 2, 1e-4
 #: Share of the loss that toxic sentences weigh.
 TOXIC_SHARE = 0.35
-SAMPLE_DOCS, SAMPLE_CHARS = 1500, 20_000
+#: Documents to learn from: toxic ones, clean ones, and how long they may be.
+TOXIC_DOCS, CLEAN_DOCS, SAMPLE_CHARS = 1500, 3000, 20_000
 CLEAN_SENTENCES, HARD_SENTENCES, TOXIC_SENTENCES = 2500, 2000, 1500
 #: Characters in a row go with toxic documents from this log likelihood ratio on.
 LEAST_EVIDENCE = 8.0
 #: Copies of each toxic sentence with a character inserted or doubled.
 TORN = 1
 #: Parts that the curve's documents are dealt to; each is scored by a machine that learned from the others.
-FOLDS = 2
+FOLDS = 3
 LOWEST = -1.0
 THRESHOLD = 0.3
 SEED = 11
 PIECE, OVERLAP = 1 << 20, 64
+BLOCK, PAIRS = 1 << 15, 1 << 18
 
 #: Character classes: end of a sentence, letters from 1 on, blank, digits, other letters by code point; and two that don't stay.
 END, BLANK, DIGIT, OTHER, LEFT_OUT, STOP = 0, 27, 28, 29, 254, 255
@@ -117,29 +119,43 @@ def norms(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def subsequences(c: np.ndarray, n: int):
-    """For each way to skip: feature ids by start, for the first n starts, and weights, which are 0 where a sentence ends before the subsequence."""
-    x = np.concatenate([c, _TAIL])[: n + SPAN]
-    inside = (x != END).astype(np.float32)
-    shifted = [x.astype(np.uint32) << np.uint32(5 * (LENGTH - 1 - j)) for j in range(LENGTH)]
+    """For each way to skip: feature ids by start, for the first n starts, the last character's place, and the weight."""
+    x = np.concatenate([c[: n + SPAN], _TAIL]).astype(np.uint32)
+    # the hash of five classes of five bits is a sum over them
+    h = [x * np.uint32((0x9E3779B1 << 5 * (LENGTH - 1 - j)) & 0xFFFFFFFF) for j in range(LENGTH)]
+    so_far = {(): h[0][:n]}
     for way in WAYS:
-        ids = shifted[0][:n].copy()
-        for j, o in enumerate(way, 1):
-            ids |= shifted[j][o : o + n]
-        ids *= np.uint32(0x9E3779B1)
-        ids >>= np.uint32(32 - BITS)
-        yield ids, inside[way[-1] : way[-1] + n] * np.float32(DECAY ** (way[-1] - LENGTH + 1))
+        for j in range(1, LENGTH):
+            if way[:j] not in so_far:
+                so_far[way[:j]] = so_far[way[: j - 1]] + h[j][way[j - 1] : way[j - 1] + n]
+        yield (so_far.pop(way) >> np.uint32(32 - BITS)).view(np.int32), way[-1], np.float32(DECAY ** (way[-1] - LENGTH + 1))
+
+
+def inside(c: np.ndarray, n: int) -> np.ndarray:
+    """1 where a sentence is, 0 at its end; SPAN more than n."""
+    return (np.concatenate([c[: n + SPAN], _TAIL])[: n + SPAN] != END).astype(np.float32)
 
 
 def margins(c: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
-    """Margins of the sentences of codes, by the table over subsequences."""
-    sums = np.zeros(len(c) + 1)
-    for at in range(0, len(c), PIECE):
-        n = min(PIECE, len(c) - at)
-        for ids, w in subsequences(c[at : at + n + SPAN], n):
-            w *= weights[ids]
-            sums[at + 1 : at + n + 1] += w
-    np.cumsum(sums, out=sums)
-    return (sums[ends] - sums[starts]) / norms(starts, ends) + bias
+    """Margins of the sentences of codes (ascending starts), by the table over subsequences; in blocks that stay in the processor's cache."""
+    out = np.empty(len(starts), np.float32)
+    first = np.searchsorted(starts, np.arange(0, len(c) + BLOCK, BLOCK))
+    for i, (lo, hi) in enumerate(itertools.pairwise(first)):
+        if lo < hi:
+            at = i * BLOCK
+            n = int(ends[hi - 1]) - at
+            sums, block = np.zeros(n + 1), c[at : at + n + SPAN]
+            whole, by_last = inside(block, n), {}
+            for ids, last, w in subsequences(block, n):
+                got = weights.take(ids)
+                got *= w
+                by_last[last] = by_last[last] + got if last in by_last else got
+            for last, got in by_last.items():  # a subsequence with a sentence end in it counts nothing
+                sums[1:] += got * whole[last : last + n]
+            np.cumsum(sums, out=sums)
+            s, e = starts[lo:hi] - at, ends[lo:hi] - at
+            out[lo:hi] = (sums[e] - sums[s]) / norms(s, e) + bias
+    return out
 
 
 def features(c: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,8 +166,9 @@ def features(c: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     wide = int(n.max(initial=0)) + SPAN
     near = np.concatenate([c, np.zeros(wide, np.uint8)])[starts[:, None] + np.arange(wide)]
     flat = np.repeat(np.arange(len(n)) * wide, n) + place
-    unit = (1 / norms(starts, ends))[owner]
-    parts = [(owner, ids[flat], w[flat] * unit) for ids, w in subsequences(near.ravel(), near.size)]
+    unit = (1 / norms(starts, ends)).astype(np.float32)[owner]
+    whole = inside(near.ravel(), near.size)
+    parts = [(owner, ids[flat], whole[flat + last] * w * unit) for ids, last, w in subsequences(near.ravel(), near.size)]
     sentence, feature, value = (np.concatenate(x) for x in zip(*parts, strict=True))
     return sentence[value > 0], feature[value > 0], value[value > 0]
 
@@ -164,8 +181,10 @@ def kernel(some: tuple, landmarks: tuple, n_some: int, n_landmarks: int) -> np.n
     known, first, count = np.unique(own, return_index=True, return_counts=True)
     at = np.minimum(np.searchsorted(known, feature), len(known) - 1)
     hits = np.flatnonzero(known[at] == feature)
-    out = np.zeros(n_some * n_landmarks)
-    for part in np.array_split(hits, max(1, len(hits) // 100_000)):
+    out = np.zeros(n_some * n_landmarks, np.float32)
+    pairs = np.cumsum(count[at[hits]])
+    cuts = np.searchsorted(pairs, np.arange(PAIRS, int(pairs[-1]) if len(pairs) else 0, PAIRS))
+    for part in np.split(hits, cuts):  # about PAIRS at a time
         times = count[at[part]]
         of = np.repeat(part, times)
         k = np.repeat(first[at[part]] - np.cumsum(times) + times, times) + np.arange(len(of))
@@ -220,8 +239,8 @@ class Sample:
             c = codes(text)
             s, e = sentences(c)
             parts.append(c)
-            starts.append(s + at)
-            ends.append(e + at)
+            starts.append((s + at).astype(np.int32))
+            ends.append((e + at).astype(np.int32))
             owner.append(np.full(len(s), i, np.int32))
             at += len(c)
         return cls(np.concatenate(parts), np.concatenate(starts), np.concatenate(ends), np.concatenate(owner), np.array([t for _, t in docs], np.int64))
@@ -231,8 +250,11 @@ class Sample:
         groups = np.split(of, np.flatnonzero(np.diff(self.owner[of])) + 1)
         return np.array([g[np.argmax(value[g])] for g in groups if len(g)], np.int64)
 
-    def apart(self, some: np.ndarray, n: int) -> np.ndarray:
-        """The first n of some sentences, without those that lie where an earlier one does."""
+    def apart(self, some: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+        """The n highest of some sentences, without those that lie where a higher one does."""
+        if len(some) > WINDOW * n:  # at most WINDOW sentences start in one place
+            some = some[np.argpartition(-value[some], WINDOW * n)[: WINDOW * n]]
+        some = some[np.lexsort((some, -value[some]))]
         kept = np.sort(np.unique(self.starts[some] // WINDOW, return_index=True)[1])
         return some[kept][:n]
 
@@ -240,21 +262,28 @@ class Sample:
         """By sentence: how much likelier the counts of its most telling LENGTH characters in a row are with a rate of their own in toxic documents than with the common one; 0 if they are rarer there."""
         share = self.toxic.mean()
         first = np.searchsorted(self.owner, np.arange(len(self.toxic) + 1))
-        lo = np.append(self.starts, len(self.c))[first]
         k, m = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
-        ids, whole = next(subsequences(self.c, len(self.c)))
-        for i, t in enumerate(self.toxic):
-            (k if t else m)[np.unique(ids[lo[i] : lo[i + 1]])] += 1
+
+        def row(lo: int, hi: int) -> np.ndarray:
+            """The LENGTH characters in a row at each start of a document; -1 if a sentence ends in them."""
+            a, b = (int(self.starts[lo]), int(self.ends[hi - 1])) if lo < hi else (0, 0)
+            ids, last, _ = next(subsequences(self.c[a:b], b - a))
+            return np.where(inside(self.c[a:b], b - a)[last:][: b - a] > 0, ids, -1)
+
+        for t, lo, hi in zip(self.toxic, first, first[1:], strict=False):
+            ids = np.unique(row(lo, hi))
+            (k if t else m)[ids[ids >= 0]] += 1
         told = np.flatnonzero(k > share * (k + m))
         a, b = k[told].astype(float), m[told].astype(float)
-        ratio = np.zeros(1 << BITS, np.float32)
+        ratio = np.zeros((1 << BITS) + 1, np.float32)  # the last is that of no row
         ratio[told] = a * np.log(a / (a + b) / share) + b * np.log(np.maximum(b, 1) / (a + b) / (1 - share))
-        by_start = ratio[ids] * (whole > 0)
         out = np.zeros(len(self.starts), np.float32)
-        for j in range(WINDOW):
-            at = self.starts + j
-            inside = at + LENGTH <= self.ends
-            out[inside] = np.maximum(out[inside], by_start[at[inside]])
+        for lo, hi in itertools.pairwise(first):
+            if lo < hi:
+                value = np.append(ratio[row(lo, hi)], np.zeros(WINDOW, np.float32))
+                s, n = self.starts[lo:hi] - self.starts[lo], (self.ends - self.starts)[lo:hi]
+                for j in range(WINDOW - LENGTH + 1):
+                    out[lo:hi] = np.maximum(out[lo:hi], np.where(j + LENGTH <= n, value[s + j], 0))
         return out
 
 
@@ -274,17 +303,17 @@ def torn(c: np.ndarray, starts: np.ndarray, ends: np.ndarray, rng: np.random.Gen
 
 def fit_margins(some: tuple, y: np.ndarray, landmarks: tuple, n_landmarks: int) -> tuple[np.ndarray, float]:
     """(weights over features, bias) of the machine for the features of sentences with labels y (1 toxic, -1 clean) and those of landmarks: squared hinge loss."""
-    own = kernel(landmarks, landmarks, n_landmarks, n_landmarks)
+    own = kernel(landmarks, landmarks, n_landmarks, n_landmarks).astype(float)
     values, vectors = np.linalg.eigh((own + own.T) / 2)
     keep = values > 1e-6 * values[-1]
     root = vectors[:, keep] / np.sqrt(values[keep])
-    x = np.hstack([kernel(some, landmarks, len(y), n_landmarks) @ root, np.ones((len(y), 1))])
+    x = np.hstack([kernel(some, landmarks, len(y), n_landmarks) @ root.astype(np.float32), np.ones((len(y), 1), np.float32)])
     c = np.where(y > 0, TOXIC_SHARE / max(1, (y > 0).sum()), (1 - TOXIC_SHARE) / max(1, (y < 0).sum()))
     w, ridge = np.zeros(x.shape[1]), np.r_[np.full(x.shape[1] - 1, RIDGE), 1e-8]
     for _ in range(30):  # Newton steps on the rows within the margin
         inside = y * (x @ w) < 1
         xi, ci = x[inside], c[inside]
-        new = np.linalg.solve((xi * ci[:, None]).T @ xi + np.diag(ridge), xi.T @ (ci * y[inside]))
+        new = np.linalg.solve(((xi * ci[:, None].astype(np.float32)).T @ xi).astype(float) + np.diag(ridge), xi.T @ (ci * y[inside]))
         if np.allclose(new, w, atol=1e-6):
             break
         w = new
@@ -298,10 +327,9 @@ def fit_sentences(d: Sample, rng: np.random.Generator) -> tuple[np.ndarray, floa
     in_toxic, in_clean = np.flatnonzero(of_toxic), np.flatnonzero(~of_toxic)
     witness = d.best(top, in_toxic)
     witness = witness[top[witness] >= LEAST_EVIDENCE] if (top[witness] >= LEAST_EVIDENCE).any() else witness  # a document without a telling sentence may be labelled in error
-    marked = in_toxic[np.argsort(-top[in_toxic], kind="stable")]
-    marked = d.apart(marked[top[marked] >= LEAST_EVIDENCE], 4 * TOXIC_SENTENCES)
+    marked = d.apart(in_toxic[top[in_toxic] >= LEAST_EVIDENCE], top, 4 * TOXIC_SENTENCES)
     base, hard = rng.permutation(in_clean)[:CLEAN_SENTENCES], np.empty(0, np.int64)
-    for _ in range(ROUNDS):
+    for step in range(ROUNDS):
         toxic = rng.permutation(np.unique(np.concatenate([witness, marked])))[:TOXIC_SENTENCES]
         clean = np.unique(np.concatenate([base, hard]))
         land = np.array(list(dict.fromkeys([*toxic[: LANDMARKS // 2], *hard[: LANDMARKS // 4], *base[: LANDMARKS // 2]]))[:LANDMARKS])
@@ -310,10 +338,11 @@ def fit_sentences(d: Sample, rng: np.random.Generator) -> tuple[np.ndarray, floa
         found = [features(*x) for x in parts]
         some = np.concatenate([f[0] + sum(n[:i]) for i, f in enumerate(found)]), *(np.concatenate([f[j] for f in found]) for j in (1, 2))
         weights, bias = fit_margins(some, np.repeat([1.0, -1.0, 1.0], n), features(d.c, d.starts[land], d.ends[land]), len(land))
+        if step == ROUNDS - 1:
+            break
         m = margins(d.c, d.starts, d.ends, weights, bias)
         # a clean sentence with a telling row of characters is in a document that may be labelled in error
-        high = in_clean[np.argsort(-m[in_clean], kind="stable")]
-        hard = d.apart(high[(top[high] < LEAST_EVIDENCE) & (m[high] > -1)], HARD_SENTENCES)
+        hard = d.apart(in_clean[(top[in_clean] < LEAST_EVIDENCE) & (m[in_clean] > -1)], m, HARD_SENTENCES)
         own = d.best(m, in_toxic)
         own = own[(m[own] > 0) & (top[own] > LEAST_EVIDENCE / 2)]
         witness = own if len(own) else witness
@@ -321,15 +350,16 @@ def fit_sentences(d: Sample, rng: np.random.Generator) -> tuple[np.ndarray, floa
 
 
 def distinct_enough(sample: list[tuple[str, int]]) -> list[tuple[str, int]]:
-    """Documents without the near copies, whose sentences would look telling only for being copied: of those that share their least-hashed word, one that has over half of its words in common with an earlier one goes. Documents without words go."""
-    kept: dict[str, list[set[str]]] = {}
+    """Documents without the near copies, whose sentences would look telling only for being copied: of those that share their least-hashed word, one that shares over half of both's words with an earlier one goes. Documents without words go."""
+    kept: dict[int, list[np.ndarray]] = {}
     out = []
     for text, toxic in sample:
-        own = set(text.lower().split())
-        if own and _has_sentence(text):
-            key = min(own, key=lambda w: zlib.crc32(w.encode("utf-8", "surrogatepass")))
-            if all(2 * len(own & other) <= len(own | other) for other in kept.get(key, ())):
-                kept.setdefault(key, []).append(own)
+        own = np.unique(np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in text.lower().split()), np.uint32))
+        if len(own) and _has_sentence(text):
+            others = kept.setdefault(int(own[0]), [])
+            both = (len(np.intersect1d(own, x, assume_unique=True)) for x in others)
+            if all(3 * n <= len(own) + len(x) for n, x in zip(both, others, strict=True)):
+                others.append(own)
                 out.append((text, toxic))
     return out
 
@@ -377,17 +407,18 @@ def learn(sample: list[tuple[str, int]], counts: dict[int, int] | None = None, s
     return machine
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Machine | None:
+def fit(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, clean_docs: int = CLEAN_DOCS) -> Machine | None:
     """A machine for the labelled rows that aren't held out."""
     told = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in told.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
     if set(counts) != {0, 1}:
         return None
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
-    told = told.where(drawn < F.when(F.col("toxic") == 1, sample_docs / counts[1]).otherwise(sample_docs / counts[0]))
+    told = told.where(drawn < F.when(F.col("toxic") == 1, toxic_docs / counts[1]).otherwise(clean_docs / counts[0]))
+    bound = 2 * (toxic_docs + clean_docs)
     short = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS)
-    told = F.broadcast(told.limit(4 * sample_docs))  # bounded by the parameter
-    sample = short.join(told, "doc_id").select("doc_id", "text", "toxic").limit(4 * sample_docs).collect()
+    told = F.broadcast(told.limit(bound))  # bounded by the parameters
+    sample = short.join(told, "doc_id").select("doc_id", "text", "toxic").limit(bound).collect()
     return learn([(r["text"], r["toxic"]) for r in sorted(sample, key=lambda r: (r["doc_id"], r["text"]))], counts)
 
 
