@@ -7,7 +7,7 @@ shingles all answers are exact.
 
 Defined cases: null text is the empty text, whose sketch is empty; fewer than five words are one shingle. Two empty
 sketches have likeness 1, an empty and another one 0. The next document is the one with the next larger distinct doc_id, the last
-one's is the first; of rows that repeat an id the smallest text counts as that id's. Each input row gives one row. A null doc_id comes before all others.
+one's is the first; of rows that repeat an id the smallest text counts as that id's. A very long text is one row's array of words and hashes, in the JVM. Each input row gives one row. A null doc_id comes before all others.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ K = 128
 SHINGLE = 5
 #: Hashes have this many bits; as text each takes a quarter as many hexadecimal digits.
 BITS = 48
+#: Ranges of doc_id for each shuffle partition, so that their sizes even out.
+RANGES_A_TASK = 8
 
 
 def with_sketch(df: DataFrame, text_col: str, to: str, k: int = K, n: int = SHINGLE) -> DataFrame:
@@ -68,27 +70,28 @@ def merge_all(rows: DataFrame, keys: list[str], sketch_col: str = "sketch", k: i
     return top.groupBy(*keys).agg(F.slice(F.sort_array(F.collect_list("h")), 1, k).alias(sketch_col))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, next_text). Documents are dealt out by ranges of doc_id, so each text moves once; only the first document of each range is read again, for the last one of the range before it."""
+def with_next(docs: DataFrame, k: int = K) -> DataFrame:
+    """(doc_id, text, sketch, next_text, next_sketch). Documents are dealt out by ranges of doc_id, so each text moves once and is sketched once, where it arrives; only the first document of each range is read again, for the last one of the range before it."""
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10_000).alias("cuts")).first()["cuts"] or []  # n numbers
+    n = RANGES_A_TASK * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000).alias("cuts")).first()["cuts"] or []  # n numbers
     bounds = F.lit(sorted(set(cuts))).cast("array<bigint>")
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    d = d.withColumn("part", F.coalesce(F.size(F.filter(bounds, lambda b: b <= F.col("doc_id"))), F.lit(0)))
-    d = d.withColumn("part", F.greatest(F.col("part"), F.lit(0)))
+    d = d.withColumn("part", F.greatest(F.coalesce(F.size(F.filter(bounds, lambda b: b <= F.col("doc_id"))), F.lit(0)), F.lit(0)))
     firsts = d.groupBy("part").agg(F.min("doc_id").alias("doc_id"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))  # a row for each range
-    firsts = firsts.select("part", F.when(F.col("nulls") == 0, F.col("doc_id")).alias("doc_id"))
-    texts = F.broadcast(firsts.select(F.col("doc_id").alias("first_id")))
-    start = d.join(texts, F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("part").agg(F.min("text").alias("text"))
+    firsts = F.broadcast(firsts.select(F.when(F.col("nulls") == 0, F.col("doc_id")).alias("first_id")))
+    start = d.join(firsts, F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("part").agg(F.min("text").alias("text"))
+    start = with_sketch(start, "text", "sketch", k)
     order = Window.orderBy("part")  # as many rows as there are ranges
-    after = start.select("part", F.coalesce(F.lead("text").over(order), F.first("text").over(order)).alias("after_text"))
+    own = F.struct("text", "sketch")
+    after = start.select(F.col("part").alias("_part"), F.coalesce(F.lead(own).over(order), F.first(own).over(order)).alias("after"))
+    d = with_sketch(d.repartition("part"), "text", "sketch", k)
     by_id = Window.partitionBy("part").orderBy("doc_id", "text")
-    d = d.withColumn("next_text", F.when(~F.lead("doc_id").over(by_id).eqNullSafe(F.col("doc_id")), F.lead("text").over(by_id)))
-    last = F.lead(F.lit(1)).over(by_id).isNull()
-    d = d.withColumn("next_text", F.when(last, F.lit(None)).otherwise(F.col("next_text")))
-    d = d.withColumn("next_text", F.max("next_text").over(Window.partitionBy("part", "doc_id")))
-    return d.join(after, "part", "left").select("doc_id", "text", F.coalesce("next_text", "after_text").alias("next_text"))
+    new = F.lead(F.lit(1)).over(by_id).isNotNull() & ~F.lead("doc_id").over(by_id).eqNullSafe(F.col("doc_id"))
+    d = d.withColumn("next", F.when(new, F.lead(own).over(by_id)))
+    d = d.withColumn("next", F.max("next").over(Window.partitionBy("part", "doc_id")))  # rows that repeat an id have the same next one
+    d = d.join(F.broadcast(after), F.col("part") == F.col("_part"), "left").withColumn("next", F.coalesce("next", "after"))
+    return d.select("doc_id", "text", "sketch", F.col("next.text").alias("next_text"), F.col("next.sketch").alias("next_sketch"))
 
 
 def edited(text: Column, next_text: Column) -> Column:
@@ -99,9 +102,9 @@ def edited(text: Column, next_text: Column) -> Column:
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = with_next(table(spark, sf_dir, "documents")).withColumn("edit", edited(F.col("text"), F.col("next_text")))
-    for text, to in (("text", "a"), ("edit", "b"), ("next_text", "c")):
-        d = with_sketch(d, text, to)
+    d = with_sketch(d, "edit", "edit_sketch")
+    a, b, c = F.col("sketch"), F.col("edit_sketch"), F.col("next_sketch")
     return d.select(
-        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edit", 256).alias("edited_sha256"), as_text(F.col("a")).alias("fingerprint"), as_text(F.col("b")).alias("edited_fingerprint"),
-        resemblance(F.col("a"), F.col("b")).alias("near_edited"), resemblance(F.col("a"), F.col("c")).alias("near_next"), distinct_count(F.col("a")).alias("n_distinct"),
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edit", 256).alias("edited_sha256"), as_text(a).alias("fingerprint"), as_text(b).alias("edited_fingerprint"),
+        resemblance(a, b).alias("near_edited"), resemblance(a, c).alias("near_next"), distinct_count(a).alias("n_distinct"),
     )
