@@ -16,7 +16,7 @@ contracting links in rounds, in hashed order, so long chains take few rounds.
 Defined cases: null or blank texts have an empty set, link with nothing and are components of their own; fewer than five words are one
 shingle, the whole sequence. Rows that repeat a doc_id are one document with all their links: classes of equal sets are what is compared, each by the text of one of
 its rows, and classes with a doc_id in common are linked. A row with a null doc_id links with nothing, has a null
-component and is kept. An empty table gives no rows. Only id and text are read, so clashing names do no harm.
+component and is kept. An empty table gives no rows. Very long texts are hashed in chunks, whole; ties (equal texts) are one class. Only id and text are read, so clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -35,6 +35,10 @@ SHINGLE = 5
 #: Linked if 100 * intersection >= PERCENT * union.
 PERCENT = 75
 T, ROWS, BANDS = 128, 4, 32
+#: Rows of a group that one task takes; a larger group is dealt to several.
+GROUP = 1000
+#: Up to so many larger groups are broadcast by key and size.
+MAX_HOT = 100_000
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _CHUNK = 1 << 20
@@ -214,6 +218,19 @@ def components(links: DataFrame) -> DataFrame:
     return materialized(roots.join(least, "to").select("node", "component"))
 
 
+def dealt(rows: DataFrame, groups: DataFrame, key: str, by: str) -> DataFrame:
+    """rows joined with groups (key, size, …) on the key, where a large group's rows are dealt to as many salts as they are GROUPs, and its one row is copied to each."""
+    salted = groups.withColumn("_salts", F.ceil(F.col("size") / GROUP).cast("int"))
+    n_hot = groups.where(F.col("size") > GROUP).count()
+    if not n_hot:
+        return rows.join(groups, key)
+    hot = salted.where("_salts > 1").select(F.col(key).alias("_key"), "_salts")
+    rows = rows.join(F.broadcast(hot) if n_hot <= MAX_HOT else hot, F.col(key) == F.col("_key"), "left")
+    rows = rows.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("_salts")).cast("int"), F.lit(0))).drop("_key", "_salts")
+    copies = salted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    return rows.join(copies, [key, "_salt"]).drop("_salt")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -236,23 +253,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = star.where(_linked(F.col("both"), F.col("n_a"), F.col("n_b"))).select("a", "b").union(own_links)
     found = components(links)
 
-    # members of one hub that aren't linked yet
+    # members of one hub that aren't linked yet; hubs of one component are done
     rows = materialized(star.join(found.toDF("a", "c"), "a", "left").withColumn("c", F.coalesce("c", "a")).select("b", "a", "c", "n_a", "n_b", "both", "lacking"))
-    rows = rows.join(rows.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n_a").alias("least")).where("lo <> hi"), "b")
+    open_hubs = rows.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n_a").alias("least"), F.count("*").alias("size")).where("lo <> hi").select("b", "least", "size")
+    rows = materialized(dealt(rows, materialized(open_hubs), "b", "a"))
     tokens = rows.select("b", "a", "c", "n_a", F.explode("lacking").alias("token"))
-    common = tokens.groupBy("b", "token").agg(F.count("*").alias("df")).where("df > 1")
+    common = tokens.groupBy("b", "token").agg(F.count("*").alias("df"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("df > 1")
+    common = common.select("b", "token", "df", (F.col("lo") != F.col("hi")).alias("between"))
     order = Window.partitionBy("b", "a").orderBy("df", "token")  # a document's shingles
     tokens = tokens.join(common, ["b", "token"], "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("pos", F.row_number().over(order) - 1)
-    tokens = materialized(tokens.where((F.col("df") > 1) & (F.col("pos") <= F.col("n_a") - F.ceil(PERCENT * F.col("n_a") / 100))).select("b", "a", "c", "n_a", "pos", "token"))
+    # a shingle that members of one component alone have can't link two
+    tokens = materialized(tokens.where(F.col("between") & (F.col("pos") <= F.col("n_a") - F.ceil(PERCENT * F.col("n_a") / 100))).select("b", "a", "c", "n_a", "pos", "token"))
     x, y = tokens.toDF("b", "x", "x_c", "x_n", "x_pos", "token"), tokens.toDF("b2", "y", "y_c", "y_n", "y_pos", "token2")
     # both have this shingle and at most what comes after it in both
     room = F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos"))
     early = x.join(y, (F.col("b") == F.col("b2")) & (F.col("token") == F.col("token2")) & (F.col("x") < F.col("y")) & (F.col("x_c") != F.col("y_c")) & _linked(room, F.col("x_n"), F.col("y_n"))).select("x", "y")
     # x can be linked, by shingles of the hub alone, to y of at most so many shingles
     most = F.floor((100 + PERCENT) * F.col("both") / PERCENT) - F.col("n_a")
-    bounded = rows.select("b", "a", "c", "n_a", "both", most.alias("most"), "least").where("most >= least")
-    x, y = bounded.select("b", "a", "c", "n_a", "most", "both").toDF("b", "x", "x_c", "x_n", "x_most", "x_both"), bounded.select("b", "a", "c", "n_a", "most", "both").toDF("b2", "y", "y_c", "y_n", "y_most", "y_both")
-    by_hub = x.join(y, (F.col("b") == F.col("b2")) & (F.col("x") < F.col("y")) & (F.col("x_c") != F.col("y_c")) & (F.col("y_n") <= F.col("x_most")) & (F.col("x_n") <= F.col("y_most"))).select("x", "y")
+    bounded = materialized(rows.select("b", "a", "c", "n_a", most.alias("most"), "least").where("most >= least").drop("least"))
+    left = materialized(bounded.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("b", "size"))
+    salts = left.select("b", F.ceil(F.col("size") / GROUP).cast("int").alias("salts"))
+    x = dealt(bounded, left, "b", "a").select("b", F.pmod(F.xxhash64("a"), F.ceil(F.col("size") / GROUP)).cast("int").alias("salt"), F.col("a").alias("x"), F.col("c").alias("x_c"), F.col("n_a").alias("x_n"), F.col("most").alias("x_most"))
+    y = bounded.join(salts, "b").select(F.col("b").alias("b2"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt2"), F.col("a").alias("y"), F.col("c").alias("y_c"), F.col("n_a").alias("y_n"), F.col("most").alias("y_most"))
+    by_hub = x.join(y, (F.col("b") == F.col("b2")) & (F.col("salt") == F.col("salt2")) & (F.col("x") < F.col("y")) & (F.col("x_c") != F.col("y_c")) & (F.col("y_n") <= F.col("x_most")) & (F.col("x_n") <= F.col("y_most"))).select("x", "y")
     cross = materialized(early.union(by_hub).distinct().toDF("a", "b"))
     more = held_against(cross, classes, docs)
     found = components(links.union(more.where(_linked(F.col("both"), F.col("n_a"), F.col("n_b"))).select("a", "b")))
