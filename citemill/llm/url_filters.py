@@ -5,7 +5,7 @@ probe touches a single row of the block table. URLs that the filter lets through
 exact hash join with the list, which takes out its false positives; the rest never reach that join.
 
 Defined cases: a null url, or one without "://", has empty host and path, fits no rule, and gets ``default_verdict``
-unless its canonical form is listed (null never is). Repeated rows stay repeated. An empty list blocks nothing.
+unless its canonical form is listed (null never is). Repeated rows stay repeated; ties between rules can't occur, as rules of equal length that fit one URL are equal. An empty list blocks nothing. Very long URLs are judged whole. An empty table gives no rows.
 Extra columns pass through; columns of the result replace input columns of the same name.
 """
 
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citemill.llm.common import table
+from citemill.llm.common import materialized, table
 
 #: (verdict, host, path prefix)
 RULES = [
@@ -29,6 +29,8 @@ SALTS = (0x47B6137B, 0x44974D91, 0x0824AD5B, 0x22B7289D, 0x705495C7, 0x2DF1424B,
 BITS_PER_ENTRY = 16
 #: A block row takes about 64 bytes in a broadcast; a filter up to this many blocks is broadcast, a larger one is joined by block number.
 MAX_BROADCAST_BLOCKS = 250_000
+#: Up to so many listed URLs that occur are broadcast, so that no page moves; with more, a URL that many pages have is left to the skew join.
+MAX_BROADCAST_HITS = 250_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -49,7 +51,7 @@ def path_of(url: Column) -> Column:
 def canonical(url: Column) -> Column:
     """Host without a leading www., path without index page, .html or closing slash; scheme, query and fragment dropped. Null without "://"."""
     host = F.regexp_replace(host_of(url), r"^www\.", "")
-    path = F.regexp_replace(path_of(url), r"(/index)?(\.html?)?/*$", "")
+    path = F.regexp_replace(path_of(url), r"(/index)?(\.html?)?/*\z", "")
     return F.when(F.instr(url, "://") > 0, F.concat(host, path))
 
 
@@ -111,8 +113,11 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, id_col: str =
     urls = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     # a URL is judged once however many pages repeat it, which takes the heat out of a hot key
     forms = urls.select(canonical(F.col("url")).alias("_url")).where(F.col("_url").isNotNull()).distinct()
-    hits = possible_hits(forms, "_url", bloom(listing, "_url", n_blocks), n_blocks).join(listing, "_url", "left_semi")
-    judged = urls.withColumn("_url", canonical(F.col("url"))).join(hits.withColumn("_hit", F.lit(True)), "_url", "left")
+    hits = materialized(possible_hits(forms, "_url", bloom(listing, "_url", n_blocks), n_blocks).join(listing, "_url", "left_semi"))
+    few = hits.count() <= MAX_BROADCAST_HITS
+    urls = urls.withColumn("_url", canonical(F.col("url")))
+    known = urls.where(F.col("_url").isNotNull()).join((F.broadcast(hits) if few else hits).withColumn("_hit", F.lit(True)), "_url", "left")
+    judged = known.select("page_id", "url", "_hit").union(urls.where(F.col("_url").isNull()).select("page_id", "url", F.lit(None).cast("boolean")))
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     out = judged.select("page_id", host.alias("host"), path.alias("path"), F.coalesce("_hit", F.lit(False)).alias("listed"))
     out = out.withColumn("_rule", rule_for(F.col("host"), F.col("path"), rules))
