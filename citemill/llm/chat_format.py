@@ -9,7 +9,7 @@ backslashes and "|" follow one another in a text; reading back takes one backsla
 mark ends at a line break, so a line break within a role is written as "<n", and "<n" itself is escaped in the same way.
 
 Defined cases: null text is empty; a null role is empty and never valid; turns are ordered by (turn, role, text), null turns first;
-rows repeated for one turn stay as turns of their own; rows of a null conv_id form one conversation. A conversation that the
+rows repeated for one turn stay as turns of their own; a row of a null conv_id is a conversation of its own. A very long conversation is one row, as its output is one string. A conversation that the
 automaton rejects is still formatted and has valid = false. An empty table gives no rows (the query adds conversation -1).
 """
 
@@ -66,7 +66,8 @@ def unescape_role(role: Column) -> Column:
 def turns_of(conversations: DataFrame) -> DataFrame:
     """(conv_id, turns): one array of (turn, role, text) for each conversation, in order."""
     row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return conversations.select("conv_id", row.alias("row")).groupBy("conv_id").agg(F.sort_array(F.collect_list("row")).alias("turns"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())  # else all rows without an id would meet in one task
+    return conversations.select("conv_id", alone.alias("_alone"), row.alias("row")).groupBy("conv_id", "_alone").agg(F.sort_array(F.collect_list("row")).alias("turns")).drop("_alone")
 
 
 def accepts(roles: Column, template: Template = CHATML) -> Column:
@@ -125,7 +126,8 @@ WITH r AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
   UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
-n AS (SELECT *, row_number() OVER w AS k, lag(role) OVER w AS prev FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+a AS (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM r),
+n AS (SELECT *, row_number() OVER w AS k, lag(role) OVER w AS prev FROM a WINDOW w AS (PARTITION BY conv_id, alone ORDER BY turn NULLS FIRST, role, text)),
 g AS (
   SELECT conv_id, count(*) AS n_turns,
          string_agg(role || chr(10) || text || chr(10), '' ORDER BY k) AS told,
@@ -133,6 +135,6 @@ g AS (
          sum(24 + length(replace(regexp_replace(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g'), '<(\\*)n', '<\\\1n', 'g'), chr(10), '<n')) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g'))) AS chars,
          bool_and(CASE WHEN prev IS NULL THEN role IN ('system', 'user') WHEN prev IN ('system', 'assistant') THEN role = 'user' WHEN prev = 'user' THEN role = 'assistant' ELSE false END)
            AND arg_max(role, k) IN ('user', 'assistant') AS valid
-  FROM n GROUP BY conv_id)
+  FROM n GROUP BY conv_id, alone)
 SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars, valid FROM g
 """
