@@ -1,19 +1,20 @@
-"""Best-fit packing of token sequences, in bulk-synchronous supersteps.
+"""Best-fit packing of token sequences, in bulk-synchronous rounds.
 
-Documents are sorted by length and ranked within each length by many tasks; gaps (open sequences) are kept sorted by size. A superstep takes
-the documents of one length, largest first, and sweeps over the gaps from the length upwards: each document's match is its successor, the smallest
-gap that holds it. Documents that want the same gap are told apart by rank: rank r takes the r-th place. Gaps shrink by what went in, and the next superstep
-starts from them. Documents that no gap holds open new sequences.
+Full pieces have a sequence to themselves. The others are packed by classes of length, longest first; a class reaches from its longest piece down to an eighth of it. In a round every gap (the room left in an open
+sequence) offers as many places as it has room for pieces of the class, each as long as the longest piece left, the last one longer. Pieces and places are sorted by size and swept upwards: a piece waits for its
+successor, the next larger place that no longer piece takes. Which one that is follows from ranks: a piece's level is how many wait when it joins them, a place's is how many wait
+when it takes the last of them; on a level, each piece's successor is the row after it. Levels are running sums, from the numbers of pieces and places of each size (at most the capacity, on the driver) and the ranks
+within a size (by many tasks), so the sweep is a window over levels, of two rows for each size at most, and conflicts can't occur. Gaps then shrink by what went in, and the next round starts from them. When nothing fits, as many
+sequences are opened as the rest of the class needs at least.
 
-Lengths are numbers up to the capacity, so documents and gaps are runs of equal size: a superstep matches runs, and its
-cost depends on the capacity and not on the corpus. Every run's match is one row of a plan (length, ranks, sequences, offset);
-the rows' own places follow from their ranks in a distributed join with the plan.
+Every round writes what it placed and the gaps that are left, so a lost executor costs a part of one round. On real lengths there are about a dozen rounds, whatever the number of rows, and within a sequence or two as
+many sequences as row-by-row best fit makes.
 
 ``pack_in_order`` keeps the order of the documents, such as a source mix: best fit runs within each window of WINDOW_DOCS consecutive documents, and
 sequences are numbered by window and, within it, by their first document. So the sequences up to the end of a window hold exactly the documents up to there.
 
-Defined cases: null text is empty; an empty document is its end token alone. Repeated rows are packed each, ties in
-length go by hash. An empty table gives no rows. Only id and text are read, so clashing names do no harm.
+Defined cases: null text is empty; an empty document is its end token alone. Very long texts are cut to pieces, whole. Repeated rows are packed each, ties in
+length go by an arbitrary number of the row. An empty table gives no rows. Only id and text are read, so clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from __future__ import annotations
 import re
 import zlib
 from bisect import bisect_left, insort
+from functools import reduce
 from itertools import accumulate
 
 import pyarrow as pa
@@ -33,7 +35,11 @@ from citemill.llm.common import materialized, table
 
 CAPACITY = 1024
 END_ID = 2
-#: Documents of one length are ranked in this many hash ranges.
+#: Rows of one size that a task ranks; more are dealt to several.
+RANKED = 100_000
+#: A class of lengths reaches down to this part of its longest; from SMALLEST tokens down there is one class.
+CLASS, SMALLEST = 8, 64
+#: Windows whose first sequence numbers one task adds up.
 RANGES = 256
 #: Documents that are packed together where their order counts.
 WINDOW_DOCS = 1024
@@ -71,7 +77,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, json
 
 
 def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
-    """The supersteps' matches: (length, first rank, end rank, first sequence, offset, documents for each sequence).
+    """Row-by-row best fit of what one task holds, over runs of equal length: (length, first rank, end rank, first sequence, offset, documents for each sequence).
 
     counts: documents of each length. A run of c sequences with q documents of the length each takes c q ranks; rank r goes to sequence
     first + (r - first rank) div q, at offset + (r - first rank) mod q times the length.
@@ -118,25 +124,77 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int
     return plan
 
 
+def ranked(rows: DataFrame, size: str, row: str, counts: dict[int, int]) -> DataFrame:
+    """Adds rank, the place of each row among those of its size in the order of hash ranges and then of the row's number; a size that many rows have is ranked by many tasks. counts: rows of each size."""
+    ranges = F.broadcast(rows.sparkSession.createDataFrame([(s, -(-n // RANKED)) for s, n in counts.items()], "_size long, _ranges long"))  # capacity rows at most
+    d = rows.join(ranges, F.col(size) == F.col("_size")).withColumn("_range", F.pmod(F.xxhash64(row), F.col("_ranges"))).drop("_size", "_ranges")
+    before = Window.partitionBy(size).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    offsets = d.groupBy(size, "_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    own = Window.partitionBy(size, "_range").orderBy(row)
+    return d.withColumn("_i", F.row_number().over(own) - 1).join(offsets, [size, "_range"]).withColumn("rank", F.col("_before") + F.col("_i")).drop("_range", "_before", "_i")
+
+
+def waiting(pieces_of: dict[int, int], places_of: dict[int, int]) -> list[tuple[int, int, int]]:
+    """(size, pieces that wait before those of the size come, pieces that wait before places of the size take any), given how many there are of each size; at most the capacity rows."""
+    out, now = [], 0
+    for size in sorted({*pieces_of, *places_of}):
+        out.append((size, now, now + pieces_of.get(size, 0)))
+        now = max(0, out[-1][2] - places_of.get(size, 0))
+    return out
+
+
+def matched(some: DataFrame, places: DataFrame, left: dict[int, int], places_of: dict[int, int]) -> DataFrame:
+    """(pid, length, seq): pieces (pid, length, rank) with the places (seq, size, rank) that they take, the longest piece first and each the smallest place that is free."""
+    told = F.broadcast(some.sparkSession.createDataFrame([(s, p, q, left.get(s, 0)) for s, p, q in waiting(left, places_of)], "_size long, _pieces long, _places long, _left long"))  # capacity rows at most
+    waits = some.join(told, F.col("length") == F.col("_size")).where(F.col("rank") < F.col("_left"))
+    waits = waits.select((F.col("_pieces") + F.col("rank") + 1).alias("level"), F.col("length").alias("size"), F.lit(0).alias("kind"), "pid", F.lit(None).cast("long").alias("seq"))
+    takes = places.join(told, F.col("size") == F.col("_size")).select((F.col("_places") - F.col("rank")).alias("level"), "size", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("pid"), "seq").where("level > 0")
+    sweep = Window.partitionBy("level").orderBy("size", "kind")
+    d = waits.unionByName(takes).withColumn("seq", F.lead("seq").over(sweep))
+    return d.where("kind = 0 AND seq IS NOT NULL").select("pid", F.col("size").alias("length"), "seq")
+
+
 def placed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to rows of (doc_id, piece, length, ids_crc32, …)."""
-    d = parts.withColumn("_h", F.xxhash64("doc_id", "piece", "ids_crc32")).withColumn("_range", F.pmod("_h", F.lit(RANGES)))
-    by_range = d.groupBy("length", "_range").agg(F.count("*").alias("_n"))  # capacity times RANGES rows at most
-    counts = {r["length"]: r["n"] for r in by_range.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # capacity rows at most
-    plan = d.sparkSession.createDataFrame(best_fit(counts, capacity), "_length long, _first long, _end long, _seq long, _at long, _fit long")
-    before = Window.partitionBy("length").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = by_range.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    own = Window.partitionBy("length", "_range").orderBy("_h", "doc_id", "piece")
-    d = d.withColumn("_i", F.row_number().over(own) - 1).join(offsets, ["length", "_range"]).withColumn("_rank", F.col("_before") + F.col("_i"))
-    # the plan has a few rows for each length, whatever the corpus
-    d = d.join(F.broadcast(plan), (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_end")))
-    k = F.col("_rank") - F.col("_first")
-    return d.select(*parts.columns, (F.col("_seq") + F.floor(k / F.col("_fit"))).cast("long").alias("sequence_id"), (F.col("_at") + k % F.col("_fit") * F.col("length")).cast("long").alias("offset"))
+    """Adds sequence_id and offset to rows with a length from 1 to the capacity. Full ones have negative sequence numbers."""
+    spark, names = parts.sparkSession, parts.columns
+    parts = materialized(parts.withColumn("pid", F.monotonically_increasing_id()))
+    some = parts.where(F.col("length") < capacity).select("pid", "length")
+    left = {r["length"]: r["n"] for r in some.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
+    some = materialized(ranked(some, "length", "pid", left)) if left else some
+    done: list[DataFrame] = []
+    gaps, opened, longest = spark.createDataFrame([], "seq long, gap long"), 0, max(left, default=0)
+    while left:
+        least = min(n for n in left if n > (longest // CLASS if longest > SMALLEST else 0))
+        own = {n: count for n, count in left.items() if n >= least}  # of this class; of a size, those of the lowest ranks are left
+        top = max(own)
+        room = F.greatest(F.lit(1), F.floor(F.col("gap") / top))
+        places = gaps.where(F.col("gap") >= least).select("seq", "gap", room.alias("_m"), F.explode(F.sequence(F.lit(0), room - 1)).alias("j"))
+        places = places.select("seq", (F.col("seq") * capacity + F.col("j")).alias("place"), F.when(F.col("j") < F.col("_m") - 1, top).otherwise(F.col("gap") - top * (F.col("_m") - 1)).alias("size"))
+        places_of = {r["size"]: r["n"] for r in places.groupBy("size").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
+        if max(places_of, default=0) < least:
+            need = -(-sum(n * count for n, count in own.items()) // capacity)
+            gaps = materialized(gaps.union(spark.range(opened, opened + need).select(F.col("id").alias("seq"), F.lit(capacity).cast("long").alias("gap"))))
+            opened += need
+            continue
+        new = matched(some.where(F.col("length").between(least, top)), ranked(places, "size", "place", places_of), own, places_of).join(gaps, "seq")
+        so_far = Window.partitionBy("seq").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)  # capacity rows at most
+        new = materialized(new.select("pid", "length", "seq", (capacity - F.col("gap") + F.coalesce(F.sum("length").over(so_far), F.lit(0))).alias("offset")))
+        done.append(new)
+        used = new.groupBy("seq").agg(F.sum("length").alias("used"))
+        gaps = materialized(gaps.join(used, "seq", "left").select("seq", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")).where("gap > 0"))
+        for r in new.groupBy("length").agg(F.count("*").alias("n")).collect():  # capacity rows at most
+            left[r["length"]] -= r["n"]
+        left = {n: count for n, count in left.items() if count}
+        if max(left, default=0) < least:
+            longest = max(left, default=0)
+    found = [parts.where(F.col("length") == capacity).select("pid", (-1 - F.col("pid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    found += [d.select("pid", F.col("seq").alias("sequence_id"), F.col("offset").cast("long").alias("offset")) for d in done]
+    return parts.join(reduce(DataFrame.union, found), "pid").select(*names, "sequence_id", "offset")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, json_path: str | None = None, rank_path: str | None = None, with_ids: bool = False) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, (ids,) sequence_id, offset."""
-    return placed(materialized(pieces(docs, capacity, end_id, json_path, rank_path, with_ids)), capacity)
+    return placed(pieces(docs, capacity, end_id, json_path, rank_path, with_ids), capacity)
 
 
 def with_places(docs: DataFrame) -> DataFrame:
