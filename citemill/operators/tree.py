@@ -1,26 +1,62 @@
-"""Project trees as edge tables (node_id, parent_id)."""
+"""Project trees as edge tables (node_id, parent_id), of any depth and size.
+
+Where every node has one parent, each node looks up its ancestors in jumps that double: after k rounds it knows the one 2 ** k above it, so a chain of a million nodes takes 20 rounds. Nodes that haven't met the root
+after as many rounds as the number of nodes needs are on a cycle, or below one, and aren't in the tree. Where a node has several parents, levels are taken one by one from the root, without nodes that were
+met before, and a node counts at its smallest depth; that takes as many rounds as there are levels.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citemill.session import stored
+
+
+def closure(edges: DataFrame, root) -> DataFrame:
+    """(node_id, depth) of the root and all below it, each once. Empty if no row has the root as its node; edges of a node to itself and rows without a node don't count."""
+    kind = edges.schema["node_id"].dataType
+    own = edges.select("node_id", F.col("parent_id").cast(kind).alias("parent_id")).where("node_id IS NOT NULL")
+    top = F.lit(root).cast(kind)
+    start = own.where(F.col("node_id") == top).select("node_id", F.lit(0).alias("depth")).distinct()
+    links = stored(own.where((F.col("node_id") != top) & F.col("parent_id").isNotNull() & (F.col("node_id") != F.col("parent_id"))).distinct())
+    several = links.groupBy("node_id").agg(F.count("*").alias("n")).where("n > 1")
+    return start if start.isEmpty() else _by_level(links, start) if not several.isEmpty() else _by_jumps(links, start, top)
+
+
+def _by_jumps(links: DataFrame, start: DataFrame, top) -> DataFrame:
+    """With one parent a node."""
+    todo = stored(links.select("node_id", F.col("parent_id").alias("up"), F.lit(1).alias("dist")))
+    done = [start]
+    for _ in range(todo.count().bit_length() + 1):
+        done.append(todo.where(F.col("up") == top).select("node_id", F.col("dist").alias("depth")))
+        todo = todo.where(F.col("up") != top)
+        met = reduce(DataFrame.union, done[1:]).select("node_id", top, "depth")
+        above = todo.union(met).toDF("_n", "_up", "_dist")
+        todo = stored(todo.join(above, F.col("up") == F.col("_n")).select("node_id", F.col("_up").alias("up"), (F.col("dist") + F.col("_dist")).alias("dist")))
+        if todo.isEmpty():
+            break
+    return reduce(DataFrame.union, done)
+
 
-def closure(edges: DataFrame, root, max_depth: int = 100) -> DataFrame:
-    """(node_id, depth) of the root and all below it, by a recursive query. A node that its own descendants name again ends at max_depth."""
-    spark = edges.sparkSession
-    typed = edges.schema["node_id"].dataType.simpleString()
-    return spark.sql(
-        f"""WITH RECURSIVE t(node_id, depth) AS (
-              SELECT node_id, 0 FROM {{edges}} WHERE node_id = CAST(:root AS {typed})
-              UNION ALL SELECT e.node_id, t.depth + 1 FROM t JOIN {{edges}} e ON e.parent_id = t.node_id AND e.node_id <> e.parent_id WHERE t.depth < {int(max_depth)})
-            SELECT node_id, depth FROM t""",
-        args={"root": str(root)}, edges=edges,
-    )
+def _by_level(links: DataFrame, start: DataFrame) -> DataFrame:
+    """With several parents a node, in rounds from the root."""
+    seen = level = stored(start)
+    depth, done = 0, [level]
+    while True:
+        depth += 1
+        found = links.join(level.select(F.col("node_id").alias("_up")), F.col("parent_id") == F.col("_up")).select("node_id").distinct()
+        level = stored(found.join(seen, "node_id", "left_anti").withColumn("depth", F.lit(depth)))
+        if level.isEmpty():
+            return reduce(DataFrame.union, done)
+        done.append(level)
+        seen = seen.union(level) if depth % 16 else stored(seen.union(level))
 
 
-def descendants(edges: DataFrame, root, max_depth: int = 100) -> DataFrame:
-    return closure(edges, root, max_depth).where("depth > 0")
+def descendants(edges: DataFrame, root) -> DataFrame:
+    return closure(edges, root).where("depth > 0")
 
 
 def depths(edges: DataFrame, root) -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -19,3 +23,21 @@ def session(master: str | None = None, app: str = "citemill", **conf: str) -> Sp
     if master:
         builder = builder.master(master)
     return builder.config(map=DEFAULTS | conf).getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; on a local master, where it is unset, a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = getattr(spark, "_citemill_folder", None) or tempfile.mkdtemp(prefix="citemill-")
+        spark._citemill_folder = found
+    return found
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as Parquet in the shared folder, read back: later rounds start from it, and a lost executor costs nothing."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/citemill/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

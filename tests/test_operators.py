@@ -84,6 +84,16 @@ def test_tree(spark):
     edges = spark.createDataFrame([("r", None), ("c1", "r"), ("c2", "r"), ("g1", "c1"), ("other", None)], "node_id string, parent_id string")
     assert tree.node_count(edges, "r").first()["nodes"] == 4
     assert {r["node_id"] for r in tree.descendants(edges, "r").collect()} == {"c1", "c2", "g1"}
+    assert tree.node_count(edges, "none").first()["nodes"] == 0 and tree.node_count(edges, "g1").first()["nodes"] == 1
+
+
+def test_deep_trees_cycles_and_several_parents(spark):
+    chain = [(i, i - 1) for i in range(1, 5001)] + [(0, 0), (9001, 9002), (9002, 9003), (9003, 9001), (9004, 9001), (9005, 777_777), (9006, None), (None, 0)]
+    got = tree.closure(spark.createDataFrame(chain, "node_id long, parent_id long"), 0).collect()
+    assert sorted((r["node_id"], r["depth"]) for r in got) == [(i, i) for i in range(5001)]
+    graph = [("r", "z"), ("a", "r"), ("b", "r"), ("c", "a"), ("c", "b"), ("d", "c"), ("d", "a"), ("a", "d"), ("r", "d"), ("x", "y")]
+    got = tree.closure(spark.createDataFrame(graph, "node_id string, parent_id string"), "r").collect()
+    assert sorted((r["node_id"], r["depth"]) for r in got) == [("a", 1), ("b", 1), ("c", 2), ("d", 2), ("r", 0)]
 
 
 def _zip(members):
