@@ -311,14 +311,21 @@ def fit_margins(some: tuple, y: np.ndarray, landmarks: tuple, n_landmarks: int)
     c = np.where(y > 0, TOXIC_SHARE / max(1, (y > 0).sum()), (1 - TOXIC_SHARE) / max(1, (y < 0).sum()))
     w, ridge = np.zeros(x.shape[1]), np.r_[np.full(x.shape[1] - 1, RIDGE), 1e-8]
     for _ in range(30):  # Newton steps on the rows within the margin
-        inside = y * (x @ w) < 1
+        inside = y * (x @ w.astype(np.float32)) < 1
         xi, ci = x[inside], c[inside]
-        new = np.linalg.solve(((xi * ci[:, None].astype(np.float32)).T @ xi).astype(float) + np.diag(ridge), xi.T @ (ci * y[inside]))
+        left = xi.T @ (ci * y[inside]).astype(np.float32)
+        weighed = xi * np.sqrt(ci).astype(np.float32)[:, None]
+        del xi
+        new = np.linalg.solve((weighed.T @ weighed).astype(float) + np.diag(ridge), left.astype(float))
+        del weighed
         if np.allclose(new, w, atol=1e-6):
             break
         w = new
+    del x
     by_landmark = root @ w[:-1]
-    return np.bincount(landmarks[1], by_landmark[landmarks[0]] * landmarks[2], 1 << BITS).astype(np.float32), float(w[-1])
+    weights = np.zeros(1 << BITS, np.float32)
+    np.add.at(weights, landmarks[1], (by_landmark[landmarks[0]] * landmarks[2]).astype(np.float32))
+    return weights, float(w[-1])
 
 
 def fit_sentences(d: Sample, rng: np.random.Generator) -> tuple[np.ndarray, float]:
@@ -336,8 +343,10 @@ def fit_sentences(d: Sample, rng: np.random.Generator) -> tuple[np.ndarray, floa
         parts = [(d.c, d.starts[toxic], d.ends[toxic]), (d.c, d.starts[clean], d.ends[clean]), torn(d.c, d.starts[toxic], d.ends[toxic], rng)]
         n = [len(s) for _, s, _ in parts]
         found = [features(*x) for x in parts]
-        some = np.concatenate([f[0] + sum(n[:i]) for i, f in enumerate(found)]), *(np.concatenate([f[j] for f in found]) for j in (1, 2))
+        some = np.concatenate([f[0] + np.int32(sum(n[:i])) for i, f in enumerate(found)]), *(np.concatenate([f[j] for f in found]) for j in (1, 2))
+        del found
         weights, bias = fit_margins(some, np.repeat([1.0, -1.0, 1.0], n), features(d.c, d.starts[land], d.ends[land]), len(land))
+        del some
         if step == ROUNDS - 1:
             break
         m = margins(d.c, d.starts, d.ends, weights, bias)
