@@ -281,7 +281,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = components(links.union(more.where(_linked(F.col("both"), F.col("n_a"), F.col("n_b"))).select("a", "b")))
 
     named = classes.select("cls", "node", F.col("doc_id").alias("least")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("cls", F.col("component_id").alias("found"))
+    named = materialized(named)
+    least = materialized(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("size")))
+    named = dealt(named, least, "component", "node").select("cls", F.col("component_id").alias("found"))
     out = d.join(named, "cls", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("found"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
