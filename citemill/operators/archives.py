@@ -47,6 +47,52 @@ def extract(archives: DataFrame, extensions: tuple[str, ...] = EXTENSIONS["archi
     return archives.select("path", "content").mapInArrow(run, SCHEMA)
 
 
+OUTCOME = "archive string, files int, scripts int, tries int, error string"
+
+
+def outcomes(archives: DataFrame, extensions: tuple[str, ...] = EXTENSIONS["archives"], case_sensitive: bool = False, max_depth: int = 3, retries: int = 2) -> DataFrame:
+    """Rows of OUTCOME from (path, content): how many members and scripts each archive has, and after how many tries; the last error of one that can't be read in retries + 1."""
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                body, error, found = data.as_py() or b"", None, (0, 0)
+                for tries in range(1, retries + 2):
+                    try:
+                        with zipfile.ZipFile(io.BytesIO(body)) as z:
+                            n = sum(not i.is_dir() for i in z.infolist())
+                        found, error = (n, sum(1 for _ in members(body, extensions, case_sensitive, max_depth))), None
+                        break
+                    except (zipfile.BadZipFile, RuntimeError, NotImplementedError, EOFError, OSError) as problem:
+                        error = str(problem)
+                rows.append((path, *found, tries, error))
+            kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["archive", "files", "scripts", "tries", "error"])
+
+    return archives.select("path", "content").mapInArrow(run, OUTCOME)
+
+
+def next_step(found: DataFrame, keep: bool = False, safe: bool = True, preserve: bool = True) -> DataFrame:
+    """Adds status and step to OUTCOME rows. An archive that was read is deleted, unless archives are kept or, with safe deletion, nothing came out of it; one that wasn't goes to quarantine or, without preserving, is deleted."""
+    read = F.col("error").isNull()
+    step = F.when(~read, "quarantine" if preserve else "delete").when(F.lit(safe) & (F.col("files") == 0), "keep").otherwise("keep" if keep else "delete")
+    status = F.when(~read, "extraction_failed").when(F.col("scripts") == 0, "no_scripts").otherwise("success")
+    return found.withColumn("status", status).withColumn("step", step)
+
+
+def recovered(quarantine: DataFrame, **how) -> DataFrame:
+    """Archives (path, content) in quarantine that can be read now, as OUTCOME rows."""
+    return outcomes(quarantine, retries=0, **how).where("error IS NULL")
+
+
+def script_inventory(files: DataFrame, extensions: tuple[str, ...] = EXTENSIONS["archives"], case_sensitive: bool = False, max_depth: int = 3) -> DataFrame:
+    """(path, script) over the files (path, content) of folders: scripts that lie there (script null), and those in ZIPs."""
+    name = F.col("path") if case_sensitive else F.lower("path")
+    wanted = F.exists(F.array(*(F.lit(e if case_sensitive else e.lower()) for e in extensions)), lambda e: F.endswith(name, e))
+    inside = extract(files.where(F.endswith(F.lower("path"), F.lit(".zip"))), extensions, case_sensitive, max_depth).where("member IS NOT NULL")
+    return files.where(wanted).select("path", F.lit(None).cast("string").alias("script")).union(inside.select("archive", "member"))
+
+
 def is_zip(content):
     """By its first two bytes."""
     return F.substring(content, 1, 2) == F.lit(b"PK")

@@ -29,6 +29,23 @@ def journal_rollup(found: DataFrame) -> DataFrame:
     )
 
 
+def journal_details(found: DataFrame, issn: str | None = None) -> DataFrame:
+    """The rollup with each journal's projects, in order of sighting and once each, its DOIs, in order and with repeats, and the ISSNs of its first sighting (empty where the lookup has none)."""
+    seen = F.struct("seq", "place", "project_id", "doi", "publisher", (F.col(issn) if issn else F.array().cast("array<string>")).alias("issn"))
+    rows = found.where(F.col("journal").isNotNull()).groupBy("journal").agg(F.sort_array(F.collect_list(seen)).alias("s"))
+    projects = F.array_distinct(F.transform("s", lambda x: x["project_id"]))
+    return rows.select(
+        "journal", F.get("s", F.lit(0))["publisher"].alias("publisher"), F.coalesce(F.get("s", F.lit(0))["issn"], F.array().cast("array<string>")).alias("issn"),
+        projects.alias("projects"), F.size(projects).cast("long").alias("project_count"), F.transform("s", lambda x: x["doi"]).alias("dois"),
+    )
+
+
+def sampled(rows: DataFrame, key: str, order: str, n: int | None = None) -> DataFrame:
+    """The first n over all search terms, after each key's first row alone has stayed; all of them without n."""
+    once = first_of_each(rows, key, order).orderBy(order)
+    return once if n is None else once.limit(n)
+
+
 def doi_summary(found: DataFrame) -> DataFrame:
     """One row: journals, projects mapped, DOIs resolved and failed, success rate in percent."""
     hit = F.col("journal").isNotNull()

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from citemill.functions import keys, text
-from citemill.operators import journals, statuses, tree
+from citemill.operators import archives, journals, statuses, tree
 from citemill.plans import corpora as c
 from citemill.sources import listings
 
@@ -35,6 +39,32 @@ _MENTIONED = rf"""SELECT project_id, unnest(list_distinct(list_concat(
   FROM (SELECT project_id, lower(text) AS low FROM ({_ME}))"""
 
 
+def _zip(key: int, name: str, brand: str) -> bytes:
+    """By the key: no archive; one without scripts; one with a script; and two with a script in a ZIP of their own."""
+    if key % 5 == 0:
+        return b"PK no archive"
+    inner, outer = io.BytesIO(), io.BytesIO()
+    with zipfile.ZipFile(inner, "w") as z:
+        z.writestr("y.DO", brand)
+    with zipfile.ZipFile(outer, "w") as z:
+        z.writestr("data.csv", "1")
+        if key % 5 > 1:
+            z.writestr("a/x.R", name)
+        if key % 5 > 2:
+            z.writestr("in.zip", inner.getvalue())
+    return outer.getvalue()
+
+
+def _zips(s, d):
+    """(path, content) of ZIPs made from parts."""
+    def make(batches):
+        for b in batches:
+            rows = list(zip(*(c.to_pylist() for c in b.columns), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array([f"z{k}" for k, _, _ in rows]), pa.array([_zip(*r) for r in rows], pa.binary())], names=["path", "content"])
+
+    return s.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name", "p_brand").mapInArrow(make, "path string, content binary")
+
+
 def _mentions(s, d):
     return c.frame(s, d, c.MENTIONS)
 
@@ -69,8 +99,8 @@ QUERIES = {
     "f04_retryable": (lambda s, d: statuses.retryable(_statuses(s, d)).select("event_id", "status"), f"SELECT event_id, status FROM ({_ST}) WHERE status IN ('forbidden', 'error', 'not_found')"),
     "a09_latest_status": (lambda s, d: statuses.latest(_statuses(s, d), "repo_id", "event_id").select("repo_id", "status"), f"SELECT repo_id, arg_max(status, event_id) AS status FROM ({_ST}) GROUP BY 1"),
     "j02_remaining": (
-        lambda s, d: statuses.remaining(_statuses(s, d).select("repo_id").distinct(), _statuses(s, d).where("status = 'error'")).select("repo_id"),
-        f"SELECT DISTINCT repo_id FROM ({_ST}) WHERE repo_id NOT IN (SELECT repo_id FROM ({_ST}) WHERE status = 'error')",
+        lambda s, d: statuses.remaining(_statuses(s, d).select("repo_id").distinct(), _statuses(s, d).where("event_id % 97 = 0")).select("repo_id"),
+        f"SELECT DISTINCT repo_id FROM ({_ST}) WHERE repo_id NOT IN (SELECT repo_id FROM ({_ST}) WHERE event_id % 97 = 0)",
     ),
     "k07_final_status": (
         lambda s, d: _statuses(s, d).select(statuses.final_status(F.col("status"), F.col("script_count") % 3).alias("status")).groupBy("status").agg(F.count("*").alias("count")),
@@ -121,7 +151,38 @@ QUERIES = {
             + len(list_filter(l, lambda x: contains(lower(x), '.m'))) + len(list_filter(l, lambda x: contains(lower(x), '.sas'))) AS INTEGER) AS compat_scripts
           FROM (SELECT *, regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*["'']([^"'']*)["'']', 1) AS l FROM ({_PAGES}))""",
     ),
-    "t13_page_text": (lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", F.length(text.html_text(F.col("html"))).alias("chars")), None),
+    "t13_page_text": (
+        lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", F.length(text.html_text(F.col("html"))).cast("long").alias("chars")),
+        r"""SELECT page_id, length(regexp_replace(regexp_replace(regexp_replace(h, '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '<[^>]*>', '', 'g'), '&\w+;', '.', 'g'))
+          + coalesce(list_sum(list_transform(regexp_extract_all(h, '(?s)<(?:script|style)[^>]*>(.*?)</(?:script|style)>', 1), lambda x: length(x))), 0)::BIGINT AS chars
+          FROM (SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS h FROM pages)""",
+    ),
+    "t29_zip_members": (
+        lambda s, d: archives.extract(_zips(s, d)).select("archive", "member", F.col("content").cast("string").alias("content"), "depth", F.substring_index("error", ":", 1).alias("error")),
+        """SELECT 'z' || p_partkey AS archive, m.member, m.content, m.depth, NULL AS error FROM part, (VALUES (0, 'a/x.R', 0), (1, 'in.zip!/y.DO', 1)) v(k, member, depth),
+            LATERAL (SELECT v.member, CASE v.k WHEN 0 THEN p_name ELSE p_brand END AS content, v.depth) m WHERE p_partkey % 5 > 1 AND (v.k = 0 OR p_partkey % 5 > 2)
+          UNION ALL SELECT 'z' || p_partkey, NULL, NULL, NULL, CASE p_partkey % 5 WHEN 0 THEN 'extraction_failed' ELSE 'no_scripts' END FROM part WHERE p_partkey % 5 < 2""",
+    ),
+    "i08_archive_steps": (
+        lambda s, d: archives.next_step(archives.outcomes(_zips(s, d))).select("archive", "files", "scripts", "tries", "status", "step"),
+        """SELECT 'z' || p_partkey AS archive, [0, 1, 2, 3, 3][k + 1] AS files, [0, 0, 1, 2, 2][k + 1] AS scripts, CASE k WHEN 0 THEN 3 ELSE 1 END AS tries,
+            CASE k WHEN 0 THEN 'extraction_failed' WHEN 1 THEN 'no_scripts' ELSE 'success' END AS status, CASE k WHEN 0 THEN 'quarantine' ELSE 'delete' END AS step FROM (SELECT p_partkey, p_partkey % 5 AS k FROM part)""",
+    ),
+    "t35_script_inventory": (
+        lambda s, d: archives.script_inventory(_zips(s, d).select(F.concat("path", F.lit(".zip")).alias("path"), "content").union(s.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("f"), F.col("p_partkey"), F.when(F.col("p_partkey") % 2 == 0, ".R").otherwise(".csv")), F.lit(None).cast("binary")))),
+        """SELECT 'f' || p_partkey || '.R' AS path, NULL AS script FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 'z' || p_partkey || '.zip', 'a/x.R' FROM part WHERE p_partkey % 5 > 1
+          UNION ALL SELECT 'z' || p_partkey || '.zip', 'in.zip!/y.DO' FROM part WHERE p_partkey % 5 > 2""",
+    ),
+    "a06_journal_details": (
+        lambda s, d: journals.journal_details(_found(s, d)).select("journal", "publisher", F.array_join("projects", ",").alias("projects"), "project_count", F.array_join("dois", ",").alias("dois")),
+        f"""WITH r AS (SELECT * FROM ({_DOI_ROWS}) WHERE journal IS NOT NULL), p AS (SELECT journal, project_id, min(seq * 100 + place) AS first FROM r GROUP BY 1, 2),
+            q AS (SELECT journal, string_agg(project_id, ',' ORDER BY first) AS projects, count(*) AS project_count FROM p GROUP BY 1)
+          SELECT journal, arg_min(publisher, seq * 100 + place) AS publisher, any_value(projects) AS projects, any_value(project_count) AS project_count, string_agg(doi, ',' ORDER BY seq, place) AS dois FROM r JOIN q USING (journal) GROUP BY 1""",
+    ),
+    "o08_sample_over_terms": (
+        lambda s, d: journals.sampled(_mentions(s, d).select(F.substring("text", 1, 9).alias("term"), (F.col("project_id") % 500).alias("key"), "project_id"), "key", "project_id", 200).select("key", "project_id"),
+        f"SELECT project_id % 500 AS key, min(project_id) AS project_id FROM ({_ME}) GROUP BY 1 ORDER BY 2 LIMIT 200",
+    ),
     "t14_unlisted": (
         lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", text.unlisted(F.concat(F.lit("['"), F.col("p_name"), F.lit("', '"), F.col("p_brand"), F.lit("']"))).alias("t")),
         "SELECT p_partkey, p_name || ''', ''' || p_brand AS t FROM part",
@@ -156,5 +217,5 @@ QUERIES = {
         lambda s, d: s.read.parquet(f"{d}/part.parquet").select(statuses.download_status(F.when(F.col("p_partkey") % 7 == 0, 403).when(F.col("p_partkey") % 7 == 1, 404).when(F.col("p_partkey") % 7 == 2, 500).otherwise(200), F.when(F.col("p_size") % 3 == 0, "text/html").otherwise("application/zip"), F.col("p_size") * 100).alias("status")).groupBy("status").agg(F.count("*").alias("n")),
         "SELECT CASE WHEN p_partkey % 7 = 0 THEN 'forbidden' WHEN p_partkey % 7 = 1 THEN 'not_found' WHEN p_partkey % 7 = 2 THEN 'error' WHEN p_size % 3 = 0 THEN 'error' WHEN p_size * 100 < 1000 THEN 'download_error' ELSE 'success' END AS status, count(*) AS n FROM part GROUP BY 1",
     ),
-    "t28_hashes": (lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", F.md5("html").alias("md5"), F.sha2("html", 256).alias("sha256")), "SELECT page_id, md5(html) AS md5, sha256(html) AS sha256 FROM pages"),
+    "t28_hashes": (lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", archives.content_hash(F.col("html")).alias("md5"), archives.content_hash(F.col("html"), "sha256").alias("sha256")), "SELECT page_id, md5(html) AS md5, sha256(html) AS sha256 FROM pages"),
 }

@@ -19,21 +19,46 @@ def decoded(content):
     return F.regexp_replace(text, "\r\n?", "\n")
 
 
+FILES = "path STRING, modificationTime TIMESTAMP, length LONG, content BINARY"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def binary_files(spark: SparkSession, folder: str, **options) -> DataFrame:
+    """All files below a folder; none where there is no such folder."""
+    if not exists(spark, folder):
+        return spark.createDataFrame([], FILES)
+    return spark.read.format("binaryFile").options(recursiveFileLookup=True, **options).load(folder)
+
+
+def free_bytes(spark: SparkSession, folder: str) -> int:
+    """Room that is left where a folder is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return int(place.getFileSystem(spark._jsc.hadoopConfiguration()).getStatus(place).getRemaining())
+
+
+def has_room(spark: SparkSession, folder: str, least_gb: float = 5) -> bool:
+    return free_bytes(spark, folder) >= least_gb * 1024**3
+
+
 def file_list(spark: SparkSession, folder: str, kind: str | None = "analysis", case_sensitive: bool = True) -> DataFrame:
     """(path, modificationTime, length) of all files below a folder, sorted by path; contents aren't read."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "modificationTime", "length")
+    rows = binary_files(spark, folder).select("path", "modificationTime", "length")
     return (rows if kind is None else rows.where(keys.has_suffix(F.col("path"), kind, case_sensitive))).orderBy("path")
 
 
 def scripts(spark: SparkSession, folder: str, kind: str = "analysis", case_sensitive: bool = True) -> DataFrame:
     """(path, text) of all scripts below a folder."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    rows = binary_files(spark, folder)
     return rows.where(keys.has_suffix(F.col("path"), kind, case_sensitive)).select("path", decoded(F.col("content")).alias("text"))
 
 
 def archives(spark: SparkSession, folder: str) -> DataFrame:
     """(path, content) of all ZIP archives below a folder."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(folder).select("path", "content")
+    return binary_files(spark, folder, pathGlobFilter="*.zip").select("path", "content")
 
 
 def seeds(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import http.client
 import json
 import time
 import urllib.error
@@ -12,23 +13,34 @@ from collections.abc import Callable, Iterator
 Fetch = Callable[[str], dict | None]
 
 
-def http_fetch(token: str | None = None, timeout: float = 30, retries: int = 3, delay: float = 1.0, pause: float = 0.0) -> Fetch:
-    """Up to retries + 1 tries, waiting longer each time; 4xx isn't tried again. pause: seconds between requests."""
+def http_reply(url: str, method: str = "GET", token: str | None = None, timeout: float = 30, retries: int = 3, delay: float = 1.0, pause: float = 0.0, data: bytes | None = None) -> tuple[dict[str, str], bytes] | None:
+    """(headers, body), or None. Up to retries + 1 tries, waiting longer each time; 4xx and addresses that can't be asked for aren't tried again. pause: seconds before each request."""
+    headers = {"Accept": "*/*"} | ({"Authorization": f"Bearer {token}"} if token else {})
+    for attempt in range(retries + 1):
+        try:
+            time.sleep(pause)
+            with urllib.request.urlopen(urllib.request.Request(url, data, headers, method=method), timeout=timeout) as reply:
+                return {k.lower(): v for k, v in reply.headers.items()}, reply.read()
+        except urllib.error.HTTPError as error:
+            if error.code < 500 and error.code != 429:
+                return None
+        except (http.client.InvalidURL, ValueError):
+            return None
+        except (OSError, http.client.HTTPException):  # no connection, or one that broke off
+            pass
+        if attempt < retries:
+            time.sleep(delay * (attempt + 1))
+    return None
+
+
+def http_fetch(**how) -> Fetch:
+    """JSON replies; one that isn't JSON is none, and isn't asked for again."""
     def fetch(url: str) -> dict | None:
-        request = urllib.request.Request(url, headers={"Accept": "application/json"} | ({"Authorization": f"Bearer {token}"} if token else {}))
-        for attempt in range(retries + 1):
-            try:
-                time.sleep(pause)
-                with urllib.request.urlopen(request, timeout=timeout) as reply:
-                    return json.load(reply)
-            except urllib.error.HTTPError as error:
-                if error.code < 500 and error.code != 429:
-                    return None
-            except (urllib.error.URLError, TimeoutError, ValueError):
-                pass
-            if attempt < retries:
-                time.sleep(delay * (attempt + 1))
-        return None
+        reply = http_reply(url, **how)
+        try:
+            return json.loads(reply[1]) if reply else None
+        except ValueError:
+            return None
     return fetch
 
 
@@ -60,8 +72,3 @@ def linked_pages(fetch: Fetch, url: str | None) -> Iterator[dict]:
             return
         yield from reply.get("data") or []
         url = (reply.get("links") or {}).get("next")
-
-
-def filters(url: str, **wanted) -> str:
-    """JSON:API filters, applied by the service."""
-    return with_query(url, **{f"filter[{k}]": str(v).lower() if isinstance(v, bool) else v for k, v in wanted.items()})

@@ -207,3 +207,61 @@ def test_commands(spark, tmp_path, capsys):
     main(["classes", "R", "MASS", "dplyr"])
     out = capsys.readouterr().out
     assert "extracted" in out and "MASS recommended" in out
+
+
+def test_requests_that_cannot_be_made_give_nothing():
+    assert http.http_reply("https://example.org/a b", retries=0) is None and http.http_reply("no address", retries=0) is None and http.http_reply("http://127.0.0.1:9/", retries=0, timeout=1) is None
+    assert services.address("search", "a b&c") == "https://api.osf.io/v2/search/?q=a%20b%26c"
+    assert services.address("dataset", "doi:10.7910/DVN/X") == "https://dataverse.harvard.edu/api/datasets/:persistentId/?persistentId=doi:10.7910/DVN/X"
+    assert services.address("institution", "cos", {"public": "true"}) == "https://api.osf.io/v2/institutions/cos/nodes/?filter%5Bpublic%5D=true"
+
+
+def test_boxes(spark, tmp_path):
+    page = "<title>Box</title> Authors: A <a href='/download/a.R'>x</a>"
+    recordings = {f"HEAD {services.BOX_ARCHIVE.format(i)}": {"Content-Length": "1000000", "Last-Modified": "Mon"} for i in (1, 15, 17)} | {services.BOX_PAGE.format(1): page}
+    (tmp_path / "rec.json").write_text(json.dumps(recordings))
+    spark.dataSource.register(services.Service)
+    rows = spark.read.format("repository_service").options(kind="box", seeds=services.box_ids(1, 20), recordings=str(tmp_path / "rec.json")).load().collect()
+    found = {r["seed"]: json.loads(r["item"]) for r in rows}
+    assert sorted(found, key=int) == ["1", "15", "17"] and found["1"]["zip_size"] == 1_000_000 and found["1"]["last_modified"] == "Mon"
+    assert found["15"]["html"] is None and one(spark.createDataFrame([(found["1"]["html"],)], "h string"), text.page_title(F.col("h"))) == "Box"
+
+
+def test_archive_runs(spark):
+    rows = [("good", _zip({"a.R": "1", "b.csv": "2"})), ("data", _zip({"b.csv": "2"})), ("void", _zip({})), ("broken", b"PKno"), ("null", None)]
+    found = archives.outcomes(spark.createDataFrame(rows, "path string, content binary"))
+    steps = {r["archive"]: (r["status"], r["step"], r["tries"]) for r in archives.next_step(found).collect()}
+    assert steps["good"] == ("success", "delete", 1) and steps["data"] == ("no_scripts", "delete", 1) and steps["void"] == ("no_scripts", "keep", 1)
+    assert steps["broken"] == steps["null"] == ("extraction_failed", "quarantine", 3)
+    assert {r["step"] for r in archives.next_step(found, keep=True, preserve=False).where("status = 'extraction_failed'").collect()} == {"delete"}
+    assert {r["step"] for r in archives.next_step(found, safe=False).where("archive = 'void'").collect()} == {"delete"}
+    assert [r["archive"] for r in archives.recovered(spark.createDataFrame([rows[0], rows[3]], "path string, content binary")).collect()] == ["good"]
+
+
+def test_missing_folder_room_and_local_modules(spark, tmp_path):
+    from citemill.functions import classify
+    from citemill.functions.python_imports import dotted_names
+
+    assert files.file_list(spark, str(tmp_path / "none")).count() == files.scripts(spark, str(tmp_path / "none")).count() == files.archives(spark, str(tmp_path / "none")).count() == 0
+    assert files.free_bytes(spark, str(tmp_path)) > 0 and not files.has_room(spark, str(tmp_path), 1e9)
+    df = spark.createDataFrame([("helpers.plots", ["helpers"]), ("os.path", ["os"]), ("numpy", None)], "m string, own array<string>")
+    assert [r[0] for r in df.select(classify.python_class(F.col("m"), F.col("own"))).collect()] == ["local", "standard", "third-party"]
+    assert [one(spark.createDataFrame([(p,)], "p string"), classify.module_name(F.col("p"))) for p in ("/a/helpers.py", "/a/pkg/__init__.py", "/a/x.R")] == ["helpers", "pkg", None]
+    assert dotted_names("import a.b, c\nfrom d.e import f\nfrom . import g") == ["a.b", "c", "d.e", None] and dotted_names("no (python") == []
+
+
+def test_journal_details_and_samples(spark):
+    found = spark.createDataFrame([("p1", 1, 0, "d1", "J", "P1", ["1"]), ("p1", 1, 1, "d1", "J", "P2", None), ("p2", 2, 0, "d2", "J", "P3", ["2"]), ("p3", 3, 0, "d9", None, None, None)], "project_id string, seq long, place int, doi string, journal string, publisher string, issn array<string>")
+    r = journals.journal_details(found, "issn").first()
+    assert (r["journal"], r["publisher"], r["issn"], r["projects"], r["project_count"], r["dois"]) == ("J", "P1", ["1"], ["p1", "p2"], 2, ["d1", "d1", "d2"])
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3), ("c", 4)], "key string, seq long")
+    assert [x["key"] for x in journals.sampled(rows, "key", "seq", 2).collect()] == ["a", "b"] and journals.sampled(rows, "key", "seq").count() == 3
+
+
+def test_windowed_statuses(spark, tmp_path):
+    rows = [("2024-01-01 00:10:00", "a"), ("2024-01-01 00:50:00", "a"), ("2024-01-01 03:00:00", "b")]
+    spark.createDataFrame(rows, "ts string, event_type string").select(F.to_timestamp("ts").alias("ts"), "event_type").write.parquet(str(tmp_path / "e"))
+    stream = spark.readStream.schema("ts timestamp, event_type string").parquet(str(tmp_path / "e"))
+    q = incremental.windowed_statuses(stream).writeStream.format("memory").queryName("w").outputMode("update").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted((r["event_type"], r["n"]) for r in spark.table("w").collect()) == [("a", 2), ("b", 1)]
