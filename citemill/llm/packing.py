@@ -36,7 +36,7 @@ from citemill.llm.common import materialized, table
 CAPACITY = 1024
 END_ID = 2
 #: Rows of one size that a task ranks; more are dealt to several.
-RANKED = 4_000
+RANKED = 1_000
 #: A class of lengths reaches down to this part of its longest; from SMALLEST tokens down there is one class.
 CLASS, SMALLEST = 8, 64
 #: Windows whose first sequence numbers one task adds up.
