@@ -6,7 +6,7 @@ import io
 import zipfile
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citemill.functions.keys import EXTENSIONS
@@ -93,6 +93,12 @@ def script_inventory(files: DataFrame, extensions: tuple[str, ...] = EXTENSIONS[
     return files.where(wanted).select("path", F.lit(None).cast("string").alias("script")).union(inside.select("archive", "member"))
 
 
+def flattened(found: DataFrame) -> DataFrame:
+    """SCHEMA rows of scripts with name, the member's last part, one row for each archive and name: the first member by depth, then by path."""
+    own = found.where("member IS NOT NULL").withColumn("name", F.substring_index(F.substring_index("member", "/", -1), "\\", -1))
+    return own.withColumn("_r", F.row_number().over(Window.partitionBy("archive", "name").orderBy("depth", "member"))).where("_r = 1").drop("_r")
+
+
 def is_zip(content):
     """By its first two bytes."""
     return F.substring(content, 1, 2) == F.lit(b"PK")

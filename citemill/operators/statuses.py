@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 # Which statuses are worth another try, and which come with error details.
@@ -64,6 +64,38 @@ def run_counters(results: DataFrame) -> DataFrame:
     )
 
 
+def run_errors(results: DataFrame, key: str = "box_id", error: str = "error") -> DataFrame:
+    """(key, error) of results that failed with an error; how many there are is the run's error count."""
+    return results.where(F.col(error).isNotNull()).select(key, F.col(error).alias("error"))
+
+
+def progress(results: DataFrame, total: int | None = None) -> DataFrame:
+    """One row over archive results (error, scripts, size): processed, successful, failed, total_scripts, total_bytes, and percent of the total, which is null where that isn't known."""
+    share = F.count("*") * 100 / F.lit(total) if total else F.lit(None).cast("double")
+    return results.agg(*_progress(), share.cast("double").alias("percent"))
+
+
+def _progress() -> list:
+    ok = F.col("error").isNull()
+    return [
+        F.count("*").alias("processed"), F.count_if(ok).alias("successful"), F.count_if(~ok).alias("failed"),
+        F.coalesce(F.sum(F.when(ok, F.col("scripts").cast("long"))), F.lit(0)).alias("total_scripts"), F.coalesce(F.sum(F.col("size").cast("long")), F.lit(0)).alias("total_bytes"),
+    ]
+
+
+def observed(results: DataFrame, name: str = "archives") -> tuple[DataFrame, Observation]:
+    """The same rows, and their progress counters as a side result of whatever writes them, without a second pass."""
+    seen = Observation(name)
+    return results.observe(seen, *_progress()), seen
+
+
+def progress_line(operation: str, row: dict) -> str:
+    """What a run has to say at its end."""
+    parts = [f"Completed {operation}", f"{row['successful']}/{row['processed']} successful"]
+    parts += [f"{row['failed']} failed"] * (row["failed"] > 0) + [f"{row['total_scripts']} scripts"] * (row["total_scripts"] > 0) + [f"{row['total_bytes'] / 2**20:.1f} MB"] * (row["total_bytes"] > 0)
+    return " - ".join(parts)
+
+
 def is_stale(modified, hours: int = 24):
     """Whether the oldest of some files is older than that; an aggregate."""
     return F.min(modified) < F.current_timestamp() - F.make_dt_interval(hours=F.lit(hours))

@@ -7,8 +7,10 @@ met before, and a node counts at its smallest depth; that takes as many rounds a
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,3 +73,31 @@ def node_count(edges: DataFrame, root) -> DataFrame:
 def node_files(nodes: DataFrame, files: DataFrame) -> DataFrame:
     """Files of the nodes of a tree; folders aren't files."""
     return files.where("kind = 'file'").join(nodes.select("node_id"), "node_id")
+
+
+def documents(nodes: DataFrame, edges: DataFrame, root, files: DataFrame | None = None) -> DataFrame:
+    """(root, document): the tree as one JSON document, which is written to project_tree.json. Nodes nest in children, ordered by id; each node of the tree has id, type and attributes from nodes
+    (node_id, type, attributes as JSON) and files from files (node_id, file as JSON, order). A node with several parents stands below its first one by id.
+
+    A document is one value, so one task puts it together; its nodes are found by joins.
+    """
+    found = closure(edges, root)
+    kind = edges.schema["node_id"].dataType
+    up = edges.select(F.col("node_id"), F.col("parent_id").cast(kind).alias("parent_id")).where("node_id <> parent_id")
+    above = up.join(found.select(F.col("node_id").alias("parent_id"), (F.col("depth") + 1).alias("depth")), "parent_id").join(found, ["node_id", "depth"]).groupBy("node_id").agg(F.min("parent_id").alias("parent_id"))
+    rows = found.join(above, "node_id", "left").join(nodes.select("node_id", "type", "attributes"), "node_id", "left")
+    if files is not None:
+        rows = rows.join(files.groupBy("node_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("order", "file"))), lambda f: f["file"]).alias("files")), "node_id", "left")
+    else:
+        rows = rows.withColumn("files", F.array().cast("array<string>"))
+    rows = rows.select(F.lit(root).cast(kind).cast("string").alias("root"), F.col("node_id").cast("string").alias("node"), F.col("parent_id").cast("string").alias("parent"), "depth", "type", "attributes", "files")
+    return rows.groupBy("root").applyInArrow(_document, "root string, document string")
+
+
+def _document(part: pa.Table) -> pa.Table:
+    children: dict[str, list[str]] = {}
+    written = "{}"
+    for r in sorted(part.to_pylist(), key=lambda r: (-r["depth"], r["node"])):  # from the leaves up; no recursion, as trees may be deep
+        written = f'{{"id": {json.dumps(r["node"])}, "type": {json.dumps(r["type"])}, "attributes": {r["attributes"] or "{}"}, "children": [{", ".join(children.pop(r["node"], []))}], "files": [{", ".join(r["files"] or [])}]}}'
+        children.setdefault(r["parent"], []).append(written)
+    return pa.table({"root": part.column("root")[:1], "document": [written]})

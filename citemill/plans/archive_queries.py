@@ -168,6 +168,27 @@ QUERIES = {
         """SELECT 'z' || p_partkey AS archive, [0, 1, 2, 3, 3][k + 1] AS files, [0, 0, 1, 2, 2][k + 1] AS scripts, CASE k WHEN 0 THEN 3 ELSE 1 END AS tries,
             CASE k WHEN 0 THEN 'extraction_failed' WHEN 1 THEN 'no_scripts' ELSE 'success' END AS status, CASE k WHEN 0 THEN 'quarantine' ELSE 'delete' END AS step FROM (SELECT p_partkey, p_partkey % 5 AS k FROM part)""",
     ),
+    "a13_progress": (
+        lambda s, d: statuses.progress(archives.outcomes(_zips(s, d)).select("error", "scripts", F.lit(10).alias("size")), 4000),
+        """SELECT count(*) AS processed, count(*) FILTER (WHERE k > 0) AS successful, count(*) FILTER (WHERE k = 0) AS failed, CAST(sum([0, 0, 1, 2, 2][k + 1]) AS BIGINT) AS total_scripts, count(*) * 10 AS total_bytes,
+            count(*) * 100 / CAST(4000 AS DOUBLE) AS percent FROM (SELECT p_partkey % 5 AS k FROM part)""",
+    ),
+    "a12_run_errors": (
+        lambda s, d: statuses.run_errors(archives.outcomes(_zips(s, d)), "archive").select("archive"),
+        "SELECT 'z' || p_partkey AS archive FROM part WHERE p_partkey % 5 = 0",
+    ),
+    "t36_flat_members": (
+        lambda s, d: archives.flattened(archives.extract(_zips(s, d))).select("archive", "name", "member"),
+        """SELECT 'z' || p_partkey AS archive, 'x.R' AS name, 'a/x.R' AS member FROM part WHERE p_partkey % 5 > 1 UNION ALL SELECT 'z' || p_partkey, 'y.DO', 'in.zip!/y.DO' FROM part WHERE p_partkey % 5 > 2""",
+    ),
+    "s05_file_requests": (
+        lambda s, d: listings.file_requests(listings.manifest(c.frame(s, d, c.LISTING), "url", "reply")),
+        f"SELECT regexp_extract(doi, '[^/]*$') AS repo_id, fn AS name, 'https://dataverse.harvard.edu/api/access/datafile/' || fid AS url FROM ({_MANIFEST})",
+    ),
+    "f06_with_id": (
+        lambda s, d: listings.with_id(s.read.parquet(f"{d}/part.parquet").select(F.when(F.col("p_partkey") % 3 > 0, F.col("p_partkey")).alias("id"), "p_name")),
+        "SELECT p_partkey AS id, p_name FROM part WHERE p_partkey % 3 > 0",
+    ),
     "t35_script_inventory": (
         lambda s, d: archives.script_inventory(_zips(s, d).select(F.concat("path", F.lit(".zip")).alias("path"), "content").union(s.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("f"), F.col("p_partkey"), F.when(F.col("p_partkey") % 2 == 0, ".R").otherwise(".csv")), F.lit(None).cast("binary")))),
         """SELECT 'f' || p_partkey || '.R' AS path, NULL AS script FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 'z' || p_partkey || '.zip', 'a/x.R' FROM part WHERE p_partkey % 5 > 1

@@ -9,18 +9,20 @@ import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 Fetch = Callable[[str], dict | None]
 
 
-def http_reply(url: str, method: str = "GET", token: str | None = None, timeout: float = 30, retries: int = 3, delay: float = 1.0, pause: float = 0.0, data: bytes | None = None) -> tuple[dict[str, str], bytes] | None:
-    """(headers, body), or None. Up to retries + 1 tries, waiting longer each time; 4xx and addresses that can't be asked for aren't tried again. pause: seconds before each request."""
+def _asked(use, url: str, method: str = "GET", token: str | None = None, timeout: float = 30, retries: int = 3, delay: float = 1.0, pause: float = 0.0, data: bytes | None = None, opener: urllib.request.OpenerDirector | None = None):
+    """What use(reply) gives, or None. Up to retries + 1 tries, waiting longer each time; 4xx and addresses that can't be asked for aren't tried again. pause: seconds before each request."""
     headers = {"Accept": "*/*"} | ({"Authorization": f"Bearer {token}"} if token else {})
+    ask = opener.open if opener else urllib.request.urlopen
     for attempt in range(retries + 1):
         try:
             time.sleep(pause)
-            with urllib.request.urlopen(urllib.request.Request(url, data, headers, method=method), timeout=timeout) as reply:
-                return {k.lower(): v for k, v in reply.headers.items()}, reply.read()
+            with ask(urllib.request.Request(url, data, headers, method=method), timeout=timeout) as reply:
+                return use(reply)
         except urllib.error.HTTPError as error:
             if error.code < 500 and error.code != 429:
                 return None
@@ -33,6 +35,31 @@ def http_reply(url: str, method: str = "GET", token: str | None = None, timeout:
     return None
 
 
+def http_reply(url: str, method: str = "GET", **how) -> tuple[dict[str, str], bytes] | None:
+    """(headers, body), or None."""
+    return _asked(lambda reply: ({k.lower(): v for k, v in reply.headers.items()}, reply.read()), url, method, **how)
+
+
+def http_copy(url: str, keep: Callable[[BinaryIO], int | None], **how) -> int | None:
+    """What keep(body) gives; it is called with the open reply of each try, must begin anew, and raises OSError for a body that broke off."""
+    return _asked(keep, url, **how)
+
+
+def http_post(url: str, values: dict, **how) -> dict | None:
+    """The JSON reply to a form."""
+    reply = http_reply(url, "POST", data=urllib.parse.urlencode(values).encode(), **how)
+    try:
+        return json.loads(reply[1]) if reply else None
+    except ValueError:
+        return None
+
+
+def logged_in(url: str, form: dict[str, str], **how) -> urllib.request.OpenerDirector | None:
+    """A session, by its cookies, for which a form was accepted; None where it wasn't."""
+    opener = urllib.request.build_opener(urllib.request.HTTPCookieProcessor())
+    return opener if http_reply(url, "POST", data=urllib.parse.urlencode(form).encode(), opener=opener, **how) else None
+
+
 def http_fetch(**how) -> Fetch:
     """JSON replies; one that isn't JSON is none, and isn't asked for again."""
     def fetch(url: str) -> dict | None:

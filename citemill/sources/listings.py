@@ -13,6 +13,8 @@ DATASET_REPLY = "data STRUCT<latestVersion STRUCT<files ARRAY<STRUCT<dataFile ST
 SEARCH_DOCS = "ARRAY<STRUCT<ID STRING, TITLE STRING, SUMMARY STRING, AUTHOR STRING>>"
 #: Where a study is shown; its id follows.
 STUDY_URL = "https://www.openicpsr.org/openicpsr/project/"
+#: Where a file of a dataset is; its number follows.
+FILE_URL = "https://dataverse.harvard.edu/api/access/datafile/"
 NODE = "id STRING, type STRING, attributes STRUCT<title STRING, description STRING, public BOOLEAN, kind STRING, name STRING>, links STRUCT<next STRING, download STRING>"
 
 
@@ -28,6 +30,22 @@ def manifest(replies: DataFrame, url: str, reply: str) -> DataFrame:
     return files.select("doi", F.col("f.dataFile.id").alias("fid"), F.coalesce("f.dataFile.filename", F.lit("")).alias("fn"))
 
 
+def file_requests(manifest_rows: DataFrame) -> DataFrame:
+    """(repo_id, name, url) of a manifest's files: each goes to the folder named by the end of its DOI."""
+    return manifest_rows.select(keys.doi_tail(F.col("doi")).alias("repo_id"), F.col("fn").alias("name"), F.concat(F.lit(FILE_URL), F.col("fid").cast("string")).alias("url"))
+
+
+def node_requests(node_files: DataFrame, node: str, attributes: str = "attributes", links: str = "links") -> DataFrame:
+    """(repo_id, name, url) of a node's files; folders, and files without an address, are left out."""
+    found = node_files.where((F.col(attributes)["kind"] == "file") & F.col(links)["download"].isNotNull())
+    return found.select(F.col(node).alias("repo_id"), F.concat(F.lit("files/"), F.coalesce(F.col(attributes)["name"], F.lit("unknown"))).alias("name"), F.col(links)["download"].alias("url"))
+
+
+def with_id(rows: DataFrame, column: str = "id") -> DataFrame:
+    """Rows that have an id."""
+    return rows.where(F.col(column).isNotNull())
+
+
 def union_all(by_name: dict[str, DataFrame], column: str = "community") -> DataFrame:
     """All rows with where they come from; columns that some lack are null there."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (df.withColumn(column, F.lit(name)) for name, df in by_name.items()))
