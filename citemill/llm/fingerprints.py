@@ -7,7 +7,7 @@ shingles all answers are exact.
 
 Defined cases: null text is the empty text, whose sketch is empty; fewer than five words are one shingle. Two empty
 sketches have likeness 1, an empty and another one 0. The next document is the one with the next larger distinct doc_id, the last
-one's is the first; of rows that repeat an id the smallest text counts as that id's. A very long text is one row's array of words and hashes, in the JVM. Each input row gives one row. A null doc_id comes before all others.
+one's is the first; of rows that repeat an id the smallest text counts as that id's; a hot id's rows, null included, are spread over many tasks. A very long text is one row's array of words and hashes, in the JVM. Each input row gives one row. A null doc_id comes before all others.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citemill.llm.common import table, words
+from citemill.llm.common import dealt, materialized, table, words
 
 K = 128
 SHINGLE = 5
@@ -71,12 +71,25 @@ def merge_all(rows: DataFrame, keys: list[str], sketch_col: str = "sketch", k: i
 
 
 def with_next(docs: DataFrame, k: int = K) -> DataFrame:
-    """(doc_id, text, sketch, next_text, next_sketch). Documents are dealt out by ranges of doc_id, so each text moves once and is sketched once, where it arrives; only the first document of each range is read again, for the last one of the range before it."""
-    spark = docs.sparkSession
+    """(doc_id, text, sketch, next_text, next_sketch) of each row. Where rows repeat an id, one text for each id goes through following(), and the rows get their next document from a join in which large groups are dealt to many tasks."""
+    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    sizes = d.groupBy("doc_id").agg(F.count("*").alias("size"))
+    again = materialized(sizes.where("size > 1"))
+    if again.isEmpty():
+        return following(d, k)
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))  # null is an id, too
+    found = following(d.groupBy("doc_id").agg(F.min("text").alias("text")), k).select(key.alias("_id"), "next_text", "next_sketch")
+    found = found.join(again.select(key.alias("_id"), "size"), "_id", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+    rows = dealt(d.withColumn("_id", key), materialized(found), "_id", "text")
+    return with_sketch(rows, "text", "sketch", k).select("doc_id", "text", "sketch", "next_text", "next_sketch")
+
+
+def following(d: DataFrame, k: int = K) -> DataFrame:
+    """The same for rows (doc_id, text) of distinct ids and texts that aren't null. Documents are dealt out by ranges of doc_id, so each text moves once and is sketched once, where it arrives; only the first document of each range is read again, for the last one of the range before it."""
+    spark = d.sparkSession
     n = RANGES_A_TASK * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000).alias("cuts")).first()["cuts"] or []  # n numbers
+    cuts = d.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000).alias("cuts")).first()["cuts"] or []  # n numbers
     bounds = F.lit(sorted(set(cuts))).cast("array<bigint>")
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     d = d.withColumn("part", F.greatest(F.coalesce(F.size(F.filter(bounds, lambda b: b <= F.col("doc_id"))), F.lit(0)), F.lit(0)))
     firsts = d.groupBy("part").agg(F.min("doc_id").alias("doc_id"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))  # a row for each range
     firsts = F.broadcast(firsts.select(F.when(F.col("nulls") == 0, F.col("doc_id")).alias("first_id")))
@@ -86,11 +99,8 @@ def with_next(docs: DataFrame, k: int = K) -> DataFrame:
     own = F.struct("text", "sketch")
     after = start.select(F.col("part").alias("_part"), F.coalesce(F.lead(own).over(order), F.first(own).over(order)).alias("after"))
     d = with_sketch(d.repartition("part"), "text", "sketch", k)
-    by_id = Window.partitionBy("part").orderBy("doc_id", "text")
-    new = F.lead(F.lit(1)).over(by_id).isNotNull() & ~F.lead("doc_id").over(by_id).eqNullSafe(F.col("doc_id"))
-    d = d.withColumn("next", F.when(new, F.lead(own).over(by_id)))
-    d = d.withColumn("next", F.max("next").over(Window.partitionBy("part", "doc_id")))  # rows that repeat an id have the same next one
-    d = d.join(F.broadcast(after), F.col("part") == F.col("_part"), "left").withColumn("next", F.coalesce("next", "after"))
+    d = d.withColumn("next", F.lead(own).over(Window.partitionBy("part").orderBy("doc_id")))
+    d = d.join(after, F.col("part") == F.col("_part"), "left").withColumn("next", F.coalesce("next", "after"))
     return d.select("doc_id", "text", "sketch", F.col("next.text").alias("next_text"), F.col("next.sketch").alias("next_sketch"))
 
 

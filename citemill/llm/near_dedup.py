@@ -29,16 +29,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citemill.llm import url_filters
-from citemill.llm.common import materialized, table
+from citemill.llm.common import GROUP, dealt, materialized, table
 
 SHINGLE = 5
 #: Linked if 100 * intersection >= PERCENT * union.
 PERCENT = 75
 T, ROWS, BANDS = 128, 4, 32
-#: Rows of a group that one task takes; a larger group is dealt to several.
-GROUP = 1000
-#: Up to so many larger groups are broadcast by key and size.
-MAX_HOT = 100_000
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _CHUNK = 1 << 20
@@ -218,19 +214,6 @@ def components(links: DataFrame) -> DataFrame:
     return materialized(roots.join(least, "to").select("node", "component"))
 
 
-def dealt(rows: DataFrame, groups: DataFrame, key: str, by: str) -> DataFrame:
-    """rows joined with groups (key, size, …) on the key, where a large group's rows are dealt to as many salts as they are GROUPs, and its one row is copied to each."""
-    salted = groups.withColumn("_salts", F.ceil(F.col("size") / GROUP).cast("int"))
-    n_hot = groups.where(F.col("size") > GROUP).count()
-    if not n_hot:
-        return rows.join(groups, key)
-    hot = salted.where("_salts > 1").select(F.col(key).alias("_key"), "_salts")
-    rows = rows.join(F.broadcast(hot) if n_hot <= MAX_HOT else hot, F.col(key) == F.col("_key"), "left")
-    rows = rows.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("_salts")).cast("int"), F.lit(0))).drop("_key", "_salts")
-    copies = salted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
-    return rows.join(copies, [key, "_salt"]).drop("_salt")
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
