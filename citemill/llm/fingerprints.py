@@ -85,22 +85,19 @@ def with_next(docs: DataFrame, k: int = K) -> DataFrame:
 
 
 def following(d: DataFrame, k: int = K) -> DataFrame:
-    """The same for rows (doc_id, text) of distinct ids and texts that aren't null. Documents are dealt out by ranges of doc_id, so each text moves once and is sketched once, where it arrives; only the first document of each range is read again, for the last one of the range before it."""
+    """The same for rows (doc_id, text) of distinct ids and texts that aren't null. Documents are dealt out by ranges of doc_id, so each text moves once and is sketched once, where it arrives; the first document of each range also goes to the end of the range before it, that of the first range to the end of the last."""
     spark = d.sparkSession
     n = RANGES_A_TASK * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = d.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000).alias("cuts")).first()["cuts"] or []  # n numbers
     bounds = F.lit(sorted(set(cuts))).cast("array<bigint>")
     d = d.withColumn("part", F.greatest(F.coalesce(F.size(F.filter(bounds, lambda b: b <= F.col("doc_id"))), F.lit(0)), F.lit(0)))
     firsts = d.groupBy("part").agg(F.min("doc_id").alias("doc_id"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))  # a row for each range
-    firsts = F.broadcast(firsts.select(F.when(F.col("nulls") == 0, F.col("doc_id")).alias("first_id")))
-    start = d.join(firsts, F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("part").agg(F.min("text").alias("text"))
-    start = with_sketch(start, "text", "sketch", k)
-    order = Window.orderBy("part")  # as many rows as there are ranges
-    own = F.struct("text", "sketch")
-    after = start.select(F.col("part").alias("_part"), F.coalesce(F.lead(own).over(order), F.first(own).over(order)).alias("after"))
-    d = with_sketch(d.repartition("part"), "text", "sketch", k)
-    d = d.withColumn("next", F.lead(own).over(Window.partitionBy("part").orderBy("doc_id")))
-    d = d.join(after, F.col("part") == F.col("_part"), "left").withColumn("next", F.coalesce("next", "after"))
+    order = Window.orderBy("part")  # as many rows, of two numbers, as there are ranges
+    to = F.coalesce(F.lag("part").over(order), F.max("part").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    firsts = F.broadcast(firsts.select(F.when(F.col("nulls") == 0, F.col("doc_id")).alias("first_id"), to.alias("to")))
+    ends = d.join(firsts, F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", "text", F.col("to").alias("part"), F.lit(True).alias("end"))
+    d = with_sketch(d.withColumn("end", F.lit(False)).unionByName(ends).repartition("part"), "text", "sketch", k)
+    d = d.withColumn("next", F.lead(F.struct("text", "sketch")).over(Window.partitionBy("part").orderBy("end", "doc_id"))).where(~F.col("end"))
     return d.select("doc_id", "text", "sketch", F.col("next.text").alias("next_text"), F.col("next.sketch").alias("next_sketch"))
 
 
