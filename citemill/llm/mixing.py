@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from citemill.llm.common import table
 
 BLOCK_DOCS = 64
+#: Blocks grow with the corpus so that the driver plans about this many, and one more for each source, whatever its size.
+MAX_BLOCKS = 1_000_000
 #: A source without a weight gets one part in this many.
 RESOLUTION = 1000
 #: Documents of a source are ranked in this many hash ranges, so a hot source is ranked by many tasks.
@@ -118,10 +120,11 @@ def tempered(counts: Mapping[str | None, int], power: float = 0.5) -> dict[str |
     return {s: n**power for s, n in counts.items()}
 
 
-def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, source_col: str = "source", block_docs: int = BLOCK_DOCS, resolution: int | None = None) -> DataFrame:
-    """The rows with _source, _phase, _block, _slot and _position (the place in the mix: slot times block size plus place in the block)."""
+def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, source_col: str = "source", block_docs: int | None = None, resolution: int | None = None) -> DataFrame:
+    """The rows with _source, _phase, _block, _slot and _position (the place in the mix: slot times block size plus place in the block). block_docs: documents in a block; unless given, BLOCK_DOCS, or more where that would make over MAX_BLOCKS blocks."""
     spark = docs.sparkSession
     counts = {r["s"]: r["n"] for r in docs.groupBy(F.col(source_col).cast("string").alias("s")).agg(F.count("*").alias("n")).collect()}  # a row for each source
+    block_docs = block_docs or max(BLOCK_DOCS, -(-sum(counts.values()) // MAX_BLOCKS))
     wanted = tempered(counts) if weights is None else {s: weights.get(s, 0) for s in counts}
     whole = exact_weights(wanted) if resolution is None else whole_weights(wanted, resolution)
     rows = plan(whole, {s: -(-n // block_docs) for s, n in counts.items()})

@@ -30,3 +30,11 @@ def test_larger_plans_are_joined(spark, monkeypatch):
     monkeypatch.setattr(mixing, "MAX_BROADCAST_NUMBERS", 0)
     monkeypatch.setattr(mixing, "CHUNK", 7)
     assert {r["doc_id"]: (r["_phase"], r["_position"]) for r in mixing.mix(docs, {"a": 2.5}, block_docs=2).collect()} == want
+
+
+def test_blocks_grow_so_that_the_plan_is_bounded(spark, monkeypatch):
+    docs = spark.range(3_000).withColumnRenamed("id", "doc_id").withColumn("source", F.when(F.col("doc_id") % 3 > 0, "a"))
+    monkeypatch.setattr(mixing, "MAX_BLOCKS", 10)
+    got = mixing.mix(docs).select("source", "_block", "_slot", "_position").toPandas()
+    assert got["_slot"].nunique() == 4 + 7 and len(got) == 3_000 and got["_position"].is_unique
+    assert got.groupby("_slot").size().max() == 300
