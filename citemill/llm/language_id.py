@@ -29,6 +29,8 @@ from citemill.llm.common import held_out, table
 HIDDEN, WINDOW = 8, 128
 #: Windows that go through the network side by side.
 SIDE = 2048
+#: Languages that are learned at most.
+MAX_LANGS = 200
 SAMPLE_DOCS, WINDOWS_EACH = 600, 4
 STEPS, BATCH, RATE, SEED = 260, 192, 0.02, 7
 UNKNOWN = "und"
@@ -207,14 +209,15 @@ def train(langs: list[str], x: np.ndarray, y: np.ndarray, steps: int = STEPS, ba
     return net
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, **how) -> Network | None:
-    """A network for the languages of the labelled rows that aren't held out; None without such rows. The sample is bounded by sample_docs (twice that at most) a language."""
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_langs: int = MAX_LANGS, **how) -> Network | None:
+    """A network for the languages of the labelled rows that aren't held out; None without such rows. The sample is bounded by sample_docs (twice that at most) a language and by max_langs languages, those with the most rows (between equals the first by name); a rarer one isn't learned."""
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     known = rows.where(F.length("text") > 0)
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
+    counts = {r["lang"]: r["n"] for r in most.collect()}
     if not counts:
         return None
-    share = F.element_at(F.create_map(*(F.lit(v) for s, n in counts.items() for v in (s, float(sample_docs / n)))), F.col("lang"))
+    share = F.try_element_at(F.create_map(*(F.lit(v) for s, n in counts.items() for v in (s, float(sample_docs / n)))), F.col("lang"))
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
     length = F.length("text")
     starts = [F.when(length > WINDOW, F.pmod(F.xxhash64("doc_id", F.lit(i)), length - WINDOW)).otherwise(0).cast("int") for i in range(WINDOWS_EACH)]

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from citemill.llm import language_id
 from tests.llm.conftest import SF
 
 
@@ -23,3 +24,9 @@ def test_rejects_documents_between_the_languages(spark):
 def test_one_language_keeps_all(spark):
     docs = spark.createDataFrame([(i, f"words of {i}", "en") for i in range(30)], "doc_id long, text string, lang string")
     assert corpus_pipeline.by_language(spark, docs, SF).count() == 30
+
+
+def test_the_rarest_languages_are_left_out_beyond_the_bound(spark):
+    rows = [(i, f"{'die und der ' if i % 3 else 'the and of '}{i}", "de" if i % 3 else "en") for i in range(60)] + [(100, "el y los", "es"), (101, "el y los", "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language_id.fit(docs, max_langs=2, steps=2).langs == ["de", "en"] and set(language_id.fit(docs, steps=2).langs) >= {"de", "en"}
