@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -96,16 +98,27 @@ class _Text(HTMLParser):
         self.parts.append(data)
 
 
-def plain_text(html: str | None) -> str | None:
+#: Stands after an ampersand that begins no whole reference; no character, by Unicode.
+_MARK = "\ufdd0"
+_REFERENCE = re.compile(r"&(?!#[0-9]+;|#[xX][0-9a-fA-F]+;)([A-Za-z0-9]+;)?")
+
+
+def plain_text(html: str | None, strict: bool = False) -> str | None:
+    """The text content of HTML. A reference without its semicolon is read as browsers read it; strict: it stays as written."""
     if html is None:
         return None
     parser = _Text()
-    parser.feed(html)
+    parser.feed(_REFERENCE.sub(lambda m: m[0] if m[1] in html5 else f"&{_MARK}{m[1] or ''}", html) if strict else html)
     parser.close()
-    return "".join(parser.parts)
+    found = "".join(parser.parts)
+    return found.replace(f"&{_MARK}", "&") if strict else found
 
 
-@F.pandas_udf(T.StringType())
-def html_text(html: pd.Series) -> pd.Series:
+def html_text(html: Column, strict: bool = False) -> Column:
     """Text content of a piece of HTML; a parser is needed for entities and broken tags."""
-    return html.map(plain_text, na_action="ignore")
+
+    @F.pandas_udf(T.StringType())
+    def parsed(h: pd.Series) -> pd.Series:
+        return h.map(lambda x: plain_text(x, strict), na_action="ignore")
+
+    return parsed(html)

@@ -4,11 +4,13 @@ import io
 import json
 import zipfile
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from citemill.functions import keys, text
 from citemill.operators import archives, imports, journals, statuses, tree
+from citemill.plans import archive_queries
 from citemill.sources import files, http, listings, services, sinks
 from citemill.sources.settings import Settings
 from citemill.streaming import incremental
@@ -69,6 +71,22 @@ def test_error_status_and_text(spark):
     assert one(df, text.page_author(F.lit("<p>Authors: A, B</p>"))) == "A, B"
 
 
+def test_references_without_semicolon(spark):
+    html = '<title>a &amp</title><script>"&amp"</script>&amp;&amp b&copy;&#39;&x; &lt'
+    df = spark.createDataFrame([(html,), (None,)], "html string")
+    assert [r[0] for r in df.select(text.html_text(F.col("html"))).collect()] == ['a &"&amp"&& b©\'&x; <', None]
+    assert [r[0] for r in df.select(text.html_text(F.col("html"), strict=True)).collect()] == ['a &amp"&amp"&&amp b©\'&x; &lt', None]
+
+
+def test_page_text_counts_as_its_sql(spark, tmp_path):
+    query, sql = archive_queries.QUERIES["t13_page_text"]
+    pages = [(1, "<title>R&amp</title><style>p{}</style><p>a &amp;&amp b</p><!-- &amp -->"), (2, '<script>var t="&lt";</script>&copy; x &lt'), (3, "plain")]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+        assert sorted(map(tuple, query(spark, str(tmp_path)).collect())) == sorted(c.execute(sql).fetchall())
+
+
 def test_journals(spark):
     known = spark.createDataFrame([("10.1234/a", "J1", "P1")], "doi string, journal string, publisher string")
     projects = spark.createDataFrame([("p1", 1, "t", "10.1234/a 10.9999/z"), ("p2", 2, "10.1234/a", None), ("p3", 3, "t", None)], "project_id string, seq long, title string, description string")
