@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import multiprocessing
+import pickle
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +46,31 @@ def materialized(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _apart(work: Callable[[], Any]) -> bytes:
+    """The pickled result of work, done by a process of its own whose memory goes when it ends, as a worker that is used again would keep it."""
+    fork = multiprocessing.get_context("fork")
+    out, into = fork.Pipe(False)
+    process = fork.Process(target=lambda: into.send_bytes(pickle.dumps(work())))
+    process.start()
+    into.close()
+    try:
+        return out.recv_bytes()
+    except EOFError:
+        raise RuntimeError("learning ended without a result; its error is in the executor's log") from None
+    finally:
+        process.join()
+
+
+def learned(sample: DataFrame, learn: Callable[[list[tuple]], Any]) -> Any:
+    """What learn makes of the rows of a bounded sample, in any order: worked out by one task of an executor, so that the driver holds neither rows nor what learning needs beside them."""
+    def run(batches):
+        rows = [row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([_apart(lambda: learn(rows))], pa.binary())], names=["learned"])
+
+    found = sample.coalesce(1).mapInArrow(run, "learned binary").collect()
+    return pickle.loads(found[0]["learned"]) if found else learn([])  # an empty plan may have no task
+
+
 def dealt(rows: DataFrame, groups: DataFrame, key: str, by: str) -> DataFrame:
     """rows joined with groups (key, size, …) on the key, where a large group's rows are dealt to as many salts as they are GROUPs, and its one row is copied to each."""
     salted = groups.withColumn("_salts", F.ceil(F.col("size") / GROUP).cast("int"))

@@ -16,7 +16,7 @@ first come the sentences with LENGTH characters in a row that go with toxic docu
 the clean ones of the next round, and toxic ones also take part with a character inserted or doubled. A document has three numbers: its highest margin, and the logarithms of 1 + the sum of its margins above 0 and of 1 + the number of its sentences, as
 a long document has high margins by chance. A logistic curve over them, fitted to documents that the machine at hand hasn't seen and weighed by how common each label is, gives the score.
 
-The sample is bounded: about TOXIC_DOCS toxic and CLEAN_DOCS clean documents, chosen by hash, of up to SAMPLE_CHARS characters. Rows that are held out never enter it, and the numbers below were chosen by
+Learning takes one task of an executor; the driver gets the machine alone. The sample is bounded: about TOXIC_DOCS toxic and CLEAN_DOCS clean documents, chosen by hash, of up to SAMPLE_CHARS characters. Rows that are held out never enter it, and the numbers below were chosen by
 cross-validation within rows that aren't held out.
 
 Defined cases: null and empty texts have no sentence and have no margin above 0 and get the score of margin LOWEST. Very long texts are read whole, in pieces of PIECE characters that overlap. Without toxic or without
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citemill.llm.common import held_out, table
+from citemill.llm.common import held_out, learned, table
 
 LENGTH, SPAN, DECAY = 5, 7, 0.5
 #: A sentence counts as SHORTEST characters at least.
@@ -427,8 +427,8 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, clean_
     bound = 2 * (toxic_docs + clean_docs)
     short = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS)
     told = F.broadcast(told.limit(bound))  # bounded by the parameters
-    sample = short.join(told, "doc_id").select("doc_id", "text", "toxic").limit(bound).collect()
-    return learn([(r["text"], r["toxic"]) for r in sorted(sample, key=lambda r: (r["doc_id"], r["text"]))], counts)
+    sample = short.join(told, "doc_id").select("doc_id", "text", "toxic").limit(bound)
+    return learned(sample, lambda rows: learn([(text, toxic) for _, text, toxic in sorted(rows)], counts))
 
 
 def scored(docs: DataFrame, machine: Machine | None, also: list[str] | None = None) -> DataFrame:

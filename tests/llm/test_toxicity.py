@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import zlib
 
 import numpy as np
 
@@ -91,3 +92,15 @@ def test_without_both_labels_there_is_no_machine():
     assert tox.learn([("some words here", 0)] * 5) is None and tox.learn([]) is None and tox.learn([("", 1), ("words", 0)]) is None
     few = tox.learn([("an awful thing to say", 1), ("nice words in a row", 0)])
     assert 0 <= few.score("other text", few.table()) <= 1
+
+
+def test_learns_on_an_executor_what_the_sample_gives(spark, monkeypatch):
+    rows = [(i, f"{'an awful blockhead' if i % 3 == 0 else 'some nice person'} said {i} words. More of {i * 7}", int(i % 3 == 0)) for i in range(120)] + [(3, "a row that repeats an id", 1)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([r[::2] for r in rows[:120]], "doc_id long, toxic int")
+    own = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    counts = {t: sum(r[2] == t for r in own if r[1] != rows[-1][1]) for t in (0, 1)}
+    expected = tox.learn([r[1:] for r in sorted(own)], counts)
+    monkeypatch.setattr(tox, "fit_sentences", None)  # the driver must not learn
+    machine = tox.fit(docs, labels)
+    assert np.array_equal(machine.ids, expected.ids) and np.allclose(machine.values, expected.values, atol=1e-5) and np.allclose(machine.curve, expected.curve, atol=1e-4)
+    assert tox.fit(docs.limit(0), labels) is None and tox.fit(docs, labels.limit(0)) is None
